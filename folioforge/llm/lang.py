@@ -24,6 +24,8 @@ SAMPLE_CHUNKS, SAMPLE_SENTENCES = 250, 500
 DIM, GRAM, CENTROIDS, SKETCH = 4096, 4, 3, 64
 #: A segment whose best cosine is under this share of the low (2 %) quantile seen in training is of no known language.
 REJECT = 0.6
+#: Confidence under which a sentence is given the main language of its chunk's other sentences.
+UNSURE = 0.75
 #: Characters of running text from which a chunk holds a language.
 MIN_CHARS = 60
 
@@ -241,6 +243,11 @@ def _apply(chunks: DataFrame, model: Model | None, each: bool) -> DataFrame:
                     continue
                 lang, conf = m.classify(sentences)
                 got = pd.DataFrame({"i": of, "segment_no": no, "chars": [len(s) for s in sentences], "k": lang, "confidence": conf})
+                unsure = (got["confidence"] < UNSURE) & (got["k"] >= 0)
+                if unsure.any():  # a sentence between two languages goes with the surer ones of its chunk
+                    sure = got[~unsure & (got["k"] >= 0)].groupby(["i", "k"], as_index=False)["chars"].sum()
+                    most = sure.sort_values("chars").drop_duplicates("i", keep="last").set_index("i")["k"]
+                    got.loc[unsure, "k"] = got.loc[unsure, "i"].map(most).fillna(got.loc[unsure, "k"]).astype(int)
                 if not each:
                     got = got[got["k"] >= 0]
                     got["w"] = got["chars"] * got["confidence"]
