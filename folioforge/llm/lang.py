@@ -25,7 +25,7 @@ DIM, GRAM, CENTROIDS, SKETCH = 4096, 4, 3, 64
 #: A segment whose best cosine is under this share of the low (2 %) quantile seen in training is of no known language.
 REJECT = 0.6
 #: Confidence under which a sentence is given the main language of its chunk's other sentences.
-UNSURE = 0.75
+UNSURE = 0.6
 #: Characters of running text from which a chunk holds a language.
 MIN_CHARS = 60
 
@@ -154,7 +154,7 @@ class Model:
             best[:, lang] = np.maximum(best[:, lang], cos[:, j])
         top = best.argmax(1)
         c = best[np.arange(len(top)), top]
-        e = np.exp(12 * (best - c[:, None]))
+        e = np.exp(40 * (best - c[:, None]))
         return np.where(c < REJECT * self.floor[top], -1, top), 1.0 / e.sum(1)
 
 
