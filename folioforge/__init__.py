@@ -1,3 +1,10 @@
 """folioforge: document collections to a searchable, citable corpus, as DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the Python workers by value, so executors need no installation of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
