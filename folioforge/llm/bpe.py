@@ -6,7 +6,6 @@ import base64
 import heapq
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +99,6 @@ class Decoder:
         return b"".join(self.symbols[i] for i in ids or []).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
 def _ranks(packed: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in packed.splitlines() if line.strip())}
 

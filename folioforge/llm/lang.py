@@ -100,7 +100,8 @@ class Model:
     """Centroids in the hashed TF-IDF space, kept as one matrix; words are projected once and cached."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, floor: np.ndarray):
-        self.langs, self.idf, self.of, self.floor = langs, idf, of, floor
+        self.langs, self.of, self.floor = langs, of, floor
+        self.args = (langs, idf, centroids, of, floor)
         rng = np.random.default_rng(7)
         sketch = np.zeros((DIM, SKETCH), np.float32)
         sketch[np.arange(DIM), rng.integers(0, SKETCH, DIM)] = rng.choice([-1.0, 1.0], DIM)
@@ -112,13 +113,6 @@ class Model:
         self.seen: dict[str, int] = {}
         self.rows = np.zeros((1024, self.proj.shape[1]), np.float32)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "rows")}
-
-    def __setstate__(self, d: dict) -> None:
-        self.__dict__ |= d
-        self._reset()
-
     def _word(self, w: str) -> int:
         i = len(self.seen)
         if i == len(self.rows):
@@ -223,11 +217,12 @@ def languages(chunks: DataFrame, model: Model | None = None) -> DataFrame:
 
 def _apply(chunks: DataFrame, model: Model | None, each: bool) -> DataFrame:
     spark = chunks.sparkSession
-    sent = spark.sparkContext.broadcast(train(chunks) if model is None else model)  # DIM x (10 languages x CENTROIDS + SKETCH) floats
+    fitted = train(chunks) if model is None else model
+    sent = spark.sparkContext.broadcast(fitted.args)  # DIM x 10 languages x CENTROIDS floats
     rows = text_chunks(chunks).select("id", "source_pdf", named(F.col("lang")).alias("label"), "body")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+        m = Model(*sent.value)
         for pdf in batches:
             body = pdf["body"].tolist()
             for a in range(0, len(body), 512):

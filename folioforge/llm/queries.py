@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import body, bpe, lang, lines, markup, neardup, split
+from . import body, bpe, lang, leak, lines, markup, neardup, split, truncation
 from .common import table
 
 
@@ -15,6 +15,14 @@ def _chunks(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, d: fn(table(spark, d, "chunks"))
 
 
+def _documents(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: fn(table(spark, d, "documents"))
+
+
+def _leaks(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: fn(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return body.page_lines(table(spark, d, "chunks")).where(~F.col("is_body")).select("id", "line_no").distinct()
 
@@ -41,4 +49,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": _chunks(neardup.found),
         "p6_groups": _chunks(neardup.groups),
         "p7_ids": lambda spark, d: bpe.encode(table(spark, d, "documents")),
+        "p8_found": _leaks(leak.found),
+        "p8_leaks": _leaks(leak.leaks),
+        "p8_report": _leaks(leak.report),
+        "p9_found": _documents(truncation.found),
+        "p9_shares": _documents(truncation.shares),
     }
