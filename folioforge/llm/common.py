@@ -54,8 +54,18 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Classes whose texts are picked by a broadcast (eight bytes each); more are picked by a shuffled join.
+BROADCAST_CLASSES = 2_000_000
+
+
+def texts_of(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of `texts` (c and a text) for each class that stands in `pairs` (a, b), written to the shared folder.
+
+    The classes are counted first: up to BROADCAST_CLASSES they are broadcast, so that only wanted texts are shuffled."""
+    wanted = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_CLASSES
+    got = texts.join(F.broadcast(wanted) if few else wanted, "c", "left_semi").dropDuplicates(["c"])
+    return written(spark, got, "wanted-texts")
 
 
 def scan_groups(

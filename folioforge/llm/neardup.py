@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, chunk_text, text_chunks, written
+from .common import WORD, text_chunks, texts_of, written
 from .shingles import Signer
 
 #: Words of a shingle, least words of a chunk, least share of common shingles.
 WIDTH, LEAST_WORDS, SIMILARITY = 3, 40, 0.7
-#: Segments of the embedding, packed eight bits each into longs; bands and rows of the cells in which the range-join runs.
-SEGMENTS, BANDS, ROWS = 32, 30, 6
+#: Segments of the embedding, BITS bits each and 21 to a long; bands and rows of the cells in which the range-join runs.
+SEGMENTS, BITS, BANDS, ROWS = 63, 3, 20, 5
 #: Members of a class of exact copies that are paired with each other; a larger class is linked through its least id.
 ALL_PAIRS = 24
 
-_PACK = 8
-
 
 def embedded(chunks: DataFrame, width: int, least_words: int) -> DataFrame:
-    """Each class of exact copies once for each of its rows: c (class), chunk_type, n (shingles), v (segment counts as packed longs), cells.
+    """Each class of exact copies once: c (class), n (shingles), v0 to v2 (segment counts), cells.
 
-    A fingerprint is the bit set of a chunk's shingle hashes; `v` holds how many of its bits lie in each of SEGMENTS segments.
-    The Manhattan distance of two embeddings is at most the Hamming distance of the fingerprints, that is the number of shingles
-    in which the chunks differ.
+    A fingerprint is the bit set of a chunk's shingle hashes; v0 to v2 hold how many of its bits lie in each of SEGMENTS segments,
+    21 counts each. The Manhattan distance of two embeddings is at most the Hamming distance of the fingerprints, that is the
+    number of shingles in which the chunks differ; counts are kept modulo 8 and their distance is taken around that circle, which
+    can only lower it.
     """
     rows = text_chunks(chunks).select("chunk_type", "body").withColumn("c", F.xxhash64("chunk_type", "body"))
 
@@ -39,40 +39,43 @@ def embedded(chunks: DataFrame, width: int, least_words: int) -> DataFrame:
             if not at:
                 continue
             take = pa.array(at)
-            counts = np.minimum(signer.counts(s, starts), 255).astype(np.uint8)
-            packed = np.ascontiguousarray(counts).view("<i8")
-            sizes = np.diff([*starts, len(s)]).astype(np.int32)
-            keys = signer.keys(s, starts)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (packed, keys)]
-            yield pa.RecordBatch.from_arrays([b.column(2).take(take), b.column(0).take(take), pa.array(sizes), *lists], ["c", "chunk_type", "n", "v", "cells"])
+            counts = (signer.counts(s, starts) % (1 << BITS)).astype(np.uint64).reshape(len(at), SEGMENTS // 21, 21)
+            packed = (counts << (np.arange(21, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
+            kind = np.array([zlib.crc32((t or "").encode()) for t in b.column(0).take(take).to_pylist()], np.int64)
+            keys = signer.keys(s, starts) ^ (kind << 20)[:, None]  # chunks of different types share no cell
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            sizes = pa.array(np.diff([*starts, len(s)]).astype(np.int32))
+            vs = [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(2).take(take), sizes, *vs, cells], ["c", "n", "v0", "v1", "v2", "cells"])
 
-    return rows.mapInArrow(run, "c bigint, chunk_type string, n int, v array<bigint>, cells array<bigint>")
+    return rows.mapInArrow(run, "c bigint, n int, v0 bigint, v1 bigint, v2 bigint, cells array<bigint>").dropDuplicates(["c"])
 
 
-def manhattan(a: str, b: str) -> Column:
+def manhattan(a: str, b: str) -> str:
     """Manhattan distance of two packed embeddings, in plain arithmetic on the JVM."""
-    terms = [f"abs((({a}[{w}] >>> {k}) & 255) - (({b}[{w}] >>> {k}) & 255))" for w in range(SEGMENTS // _PACK) for k in range(0, 64, 8)]
-    return F.expr(" + ".join(terms))
+    terms = []
+    mask, circle = (1 << BITS) - 1, 1 << BITS
+    for v in ("v0", "v1", "v2"):
+        for k in range(0, 21 * BITS, BITS):
+            # distance around the circle from one difference: (d + half) mod circle lies as far from half as d from 0
+            d = f"(shiftrightunsigned({a}.{v}, {k}) - shiftrightunsigned({b}.{v}, {k}) + {circle // 2}) & {mask}"
+            terms.append(f"abs(({d}) - {circle // 2})")
+    return " + ".join(terms)
 
 
 def candidates(emb: DataFrame, similarity: float) -> DataFrame:
     """Pairs of classes that share a cell and pass both lower bounds: a, b (a < b).
 
     At similarity t two sets of n and m shingles differ in at most (1 - t) / (1 + t) * (n + m) of them, so pairs whose sizes or
-    embeddings are farther apart than that can't reach it and are dropped inside the join.
+    embeddings are farther apart than that can't reach it and are dropped inside the join. Both sides are one exchange.
     """
-    cells = emb.select("c", "chunk_type", "n", "v", F.explode("cells").alias("cell")).dropDuplicates(["cell", "c"])
-    a = cells.select("cell", F.col("c").alias("a"), F.col("chunk_type").alias("ta"), F.col("n").alias("na"), F.col("v").alias("va"))
-    b = cells.select(F.col("cell").alias("cell_b"), F.col("c").alias("b"), F.col("chunk_type").alias("tb"), F.col("n").alias("nb"), F.col("v").alias("vb"))
+    cells = emb.select("c", "n", "v0", "v1", "v2", F.explode("cells").alias("cell"))
     share = (1 - similarity) / (1 + similarity)
-    near = (
-        (F.col("cell") == F.col("cell_b"))
-        & (F.col("a") < F.col("b"))
-        & (F.col("ta") == F.col("tb"))
-        & (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-        & (manhattan("va", "vb") <= F.lit(share) * (F.col("na") + F.col("nb")) + 1e-9)
+    near = F.expr(
+        f"x.cell = y.cell and x.c < y.c and least(x.n, y.n) >= {similarity!r}D * greatest(x.n, y.n) - 1e-9D "
+        f"and {manhattan('x', 'y')} <= {share!r}D * (x.n + y.n) + 1e-9D"
     )
-    return a.join(b, near).select("a", "b").distinct()
+    return cells.alias("x").join(cells.alias("y"), near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def _texts(chunks: DataFrame) -> DataFrame:
@@ -83,8 +86,7 @@ def links(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS,
     """Verified pairs of classes of exact copies: a, b (a < b; classes are numbers), similarity."""
     pairs = candidates(embedded(chunks, width, least_words), similarity)
     pairs = written(chunks.sparkSession, pairs, "neardup-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    texts = _texts(chunks).select("c", "body").join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    texts = texts_of(chunks.sparkSession, _texts(chunks).select("c", "body"), pairs)
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("body").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
