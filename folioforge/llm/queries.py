@@ -55,3 +55,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_found": _documents(truncation.found),
         "p9_shares": _documents(truncation.shares),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    from .sql import SQL
+
+    return dict(SQL)
