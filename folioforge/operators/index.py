@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, embed_text
+from ..storage import written
 
 #: Constants of the ranking function: saturation, length normalisation, floor of a negative weight as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -50,18 +51,24 @@ class Lexical:
         return Lexical(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "corpus")))
 
 
-def lexical(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Lexical:
-    """Index of all documents by the tokens between white space, case kept. Null texts count as empty documents of length 0; repeated keys add up."""
+def lexical(docs: DataFrame, key: str = "doc_id", text: str = "text", store: bool = True) -> Lexical:
+    """Index of all documents by the tokens between white space, case kept. Null texts count as empty documents of length 0; repeated keys add up.
+
+    The tables are written to the shared folder as they are made, so that each is computed once; `store=False` leaves them lazy.
+    """
+    keep = (lambda df, name: written(docs.sparkSession, df, f"index-{name}")) if store else (lambda df, name: df)
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.split(F.coalesce(text, F.lit("")), f"{WS}+").alias("t"))
     d = d.select("key", F.filter("t", lambda x: x != "").alias("t"))
     lengths = d.groupBy("key").agg(F.sum(F.size("t")).cast("int").alias("dl"))
+    lengths = keep(lengths, "lengths")
     postings = d.select("key", F.explode("t").alias("term")).groupBy("term", "key").agg(F.count("*").cast("int").alias("tf"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = keep(postings, "postings")
+    corpus = keep(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "corpus")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Lexical(postings, lengths, terms, corpus)
+    return Lexical(postings, lengths, keep(terms, "terms"), corpus)
 
 
 def embedded(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: Embedder, key: str = "doc_id", text: str = "text") -> DataFrame:
