@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import WS, col, snippet
+from ..storage import written
 from .index import B, K1, Lexical
 
 #: Candidates of each list, results after re-ranking, weight of the vector list, constant of the fusion, decimal places of scores.
@@ -44,6 +45,7 @@ def bm25(index: Lexical, queries: DataFrame, k: int = CANDIDATES, query_id: str
     tf = F.col("tf").cast("double")
     weight = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "key").agg(F.round(F.sum(weight), PLACES).alias("score"))
+    scored = written(queries.sparkSession, scored, "bm25-scores")  # read four times below
     every = queries.select(F.col(query_id).alias("query_id")).distinct()
     best = top_k(scored.where("score > 0"), k).drop("rank")
     # documents with no score of their own: the first k + |best| keys are enough to fill up any query

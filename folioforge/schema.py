@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = T._parse_datatype_string(
+from .types import struct
+
+BLOCK = struct(
     "doc_key string, ord int, block_type string, page_idx int, bbox array<double>, text string, text_level int, list_items array<string>, "
     "table_body string, table_html string, table_type string, img_path string, table_caption array<string>, table_footnote array<string>, "
     "image_caption array<string>, image_footnote array<string>, code_body string"
@@ -19,7 +21,7 @@ METADATA = (
     "table_row_count int, table_col_count int, table_body_char_count int, table_text_char_count int, table_type string, image_path string, "
     "bbox array<double>, is_table boolean, content_available boolean, embed boolean, html_tag string, styling map<string,string>"
 )
-CHUNK = T._parse_datatype_string(f"id string, text string, content string, metadata struct<{METADATA}>")
+CHUNK = struct(f"id string, text string, content string, metadata struct<{METADATA}>")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
