@@ -184,7 +184,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 def train(chunks: DataFrame) -> Model:
     """Model from a bounded sample of labelled text chunks (see SAMPLE_CHUNKS); the ids are chosen without reading texts."""
-    own = text_chunks(chunks)
+    own = text_chunks(chunks).select("id", "lang", "body")
     w = Window.partitionBy("label").orderBy("h", "id")
     chosen = (
         own.select("id", named(F.col("lang")).alias("label"), F.xxhash64("id").alias("h"))
@@ -248,6 +248,8 @@ def _apply(chunks: DataFrame, model: Model | None, each: bool) -> DataFrame:
                     got["w"] = got["chars"] * got["confidence"]
                     got = got.groupby(["i", "k"], as_index=False)[["chars", "w"]].sum()
                     got["confidence"] = got["w"] / got["chars"]
+                if not len(got):
+                    continue
                 for c in ("id", "source_pdf", "label"):
                     got[c] = pdf[c].to_numpy(object)[got["i"]]
                 got["lang"] = [m.langs[k] if k >= 0 else None for k in got["k"]]
