@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,18 @@ class Embedder:
 EMBEDDERS = {e.name: e for e in (Embedder("local", 384, 64), Embedder("remote", 1536, 512), Embedder("precomputed", 64, 1024))}
 
 
+def embedder(name: str, default: str = "local") -> Embedder:
+    """Settings of a model; those of the default for an unknown name, under that name."""
+    e = EMBEDDERS.get(name)
+    return e or Embedder(name, EMBEDDERS[default].dims, EMBEDDERS[default].batch)
+
+
+def index_path(base: str, corpus: str, model: str) -> str:
+    """Folder of the index of one corpus for one model."""
+    key = re.sub("[^a-z0-9]+", "_", model.lower()).strip("_")
+    return f"{base.rstrip('/')}/index={corpus}/model={key}"
+
+
 @dataclass
 class Lexical:
     """Tables of a lexical index: postings(term, key, tf), lengths(key, dl), terms(term, df, idf), corpus(n, avgdl)."""

@@ -115,6 +115,17 @@ def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.from_markdown(c)
 
 
+def nested_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each text block and list written in the nested form, and read back."""
+    b = _blocks(spark, d).where("block_type in ('text', 'list')").withColumn("k", F.concat_ws("#", "doc_key", F.col("ord").cast("string")))
+    title = F.to_json(F.struct(F.lit("title").alias("type"), F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("title_content"), F.col("text_level").alias("level")).alias("content")))
+    para = F.to_json(F.struct(F.lit("paragraph").alias("type"), F.struct(F.col("text").alias("paragraph_content")).alias("content")))
+    items = F.to_json(F.struct(F.lit("list").alias("type"), F.struct("list_items").alias("content")))
+    one = F.when(F.col("block_type") == "list", items).when(F.col("text_level").isNotNull(), title).otherwise(para)
+    got = blocks.from_v2(b.select(F.col("k").alias("doc_key"), F.concat(F.lit("[["), one, F.lit("]]")).alias("json")))
+    return got.select("doc_key", "block_type", "page_idx", "text", "text_level", F.array_join("list_items", "|").alias("items"))
+
+
 def looks_like_heading(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d).where("text is not null").select("doc_key", "ord", T.normalize_space("text").alias("t"))
     return b.select("doc_key", "ord", headings.looks_like_heading("t").alias("is_heading"), headings.guess_level("t").alias("guessed"))
@@ -352,7 +363,7 @@ def assistant_last(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = (
     "normalize_text strip_html safe_filename text_helpers split_paths key_values load_chunks detect_backend best_candidate side_files flat_styling metadata_filter "
-    "redelivered block_texts markdown_blocks looks_like_heading heading_path block_chunks chapter_chunks image_chunks table_grids table_files markdown_table_rows "
+    "redelivered block_texts nested_blocks markdown_blocks looks_like_heading heading_path block_chunks chapter_chunks image_chunks table_grids table_files markdown_table_rows "
     "chunk_sliding_window page_windows chunk_references html_chunks manifest manifest_check run_summary json_lines term_statistics bm25_topk vector_topk "
     "hybrid_retrieve rrf_fusion rerank_overlap rerank_permutation union_distinct_iterations document_identity source_label style_note context_pack cite_extract "
     "cite_sources cite_renumber cite_rewrite last_user_message validate_question assistant_last"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chat, citations, context, retrieve
+from ..operators import chat, citations, context, index, retrieve
 from ..operators.index import Lexical
 
 
@@ -71,6 +72,38 @@ def steps(judgement: dict | None, current: str) -> str | None:
     return new if new and new.lower() != current.strip().lower() else None
 
 
+def question_of(user_message: str | None, messages: list[dict] | None = None, body: dict | None = None) -> str:
+    """The question of a chat call: the last user message of `messages`, else of the body's messages, else the plain message; stripped."""
+
+    def text(content) -> str:
+        if isinstance(content, list):
+            parts = [x if isinstance(x, str) else str(x.get("text") or x.get("content") or "") for x in content if isinstance(x, (str, dict))]
+            return "\n".join(p for p in parts if p.strip())
+        return content if isinstance(content, str) else ""
+
+    for ms in (messages, (body or {}).get("messages")):
+        for m in reversed(ms or []):
+            if m.get("role") == "user" and text(m.get("content")).strip():
+                return text(m["content"]).strip()
+    return (user_message or "").strip()
+
+
+def open_index(spark: SparkSession, base: str, corpus: str, paths: list[str], docs: Callable[[], DataFrame], model: str = "precomputed", rebuild: bool = False, key: str = "key", text: str = "text") -> Lexical:
+    """The stored index of a corpus, built again only if its files, its model or the wish say so. `docs` is called only then."""
+    at = index.index_path(base, corpus, model)
+    digest = index.fingerprint(spark, paths).first()[0]
+    try:
+        known = spark.read.parquet(f"{at}/meta")
+        known.first()
+    except AnalysisException:
+        known = None
+    if not index.stale(known, digest, model, rebuild):
+        return Lexical.read(spark, at)
+    built = index.lexical(docs(), key, text).write(at)
+    index.meta(spark, corpus, base, paths, built.lengths.count(), digest, model).coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
+    return built
+
+
 @dataclass
 class Engine:
     """An index with its models.
@@ -79,7 +112,7 @@ class Engine:
     """
 
     spark: SparkSession
-    index: Lexical
+    index: Lexical | None
     chunks: DataFrame
     embeddings: DataFrame | None = None
     embed: Callable[[list[str]], list[list[float]]] | None = None
@@ -90,16 +123,18 @@ class Engine:
 
     def prepare(self) -> Engine:
         """Keep the index's tables in memory where they fit, else on disk."""
-        for t in (self.index.postings, self.index.lengths, self.index.terms, self.index.corpus):
+        for t in (self.index.postings, self.index.lengths, self.index.terms, self.index.corpus) if self.index else ():
             t.persist()
         return self
 
     def close(self) -> None:
-        for t in (self.index.postings, self.index.lengths, self.index.terms, self.index.corpus):
+        for t in (self.index.postings, self.index.lengths, self.index.terms, self.index.corpus) if self.index else ():
             t.unpersist()
 
     def retrieve(self, queries: DataFrame, where: str | None = None) -> DataFrame:
         """Ranked passages of a batch of queries (query_id, query, and embedding for hybrid retrieval): query_id, key, place, rerank_score, label, text. `where` filters chunks by their metadata."""
+        if self.index is None:
+            return self.spark.createDataFrame([], "query_id int, key string, place int, rerank_score double, label string, text string")
         k = self.settings.candidates
         chunks = self.chunks.where(where) if where else self.chunks
         q = queries.withColumnRenamed("query", "text")
@@ -137,6 +172,10 @@ class Engine:
             current = new
         return packed, used
 
+    def pipe(self, user_message: str | None, messages: list[dict] | None = None, body: dict | None = None) -> Iterator[str]:
+        """Answer of a chat call."""
+        return self.answer(question_of(user_message, messages, body))
+
     def answer(self, question: str) -> Iterator[str]:
         """The answer in parts, then the block of the sources that it cites. A bad question or a failing model is answered by a line saying so."""
         question = (question or "").strip()

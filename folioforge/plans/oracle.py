@@ -103,6 +103,8 @@ SQL: dict[str, str] = {
     "block_texts": f"""with {LAID} select doc_key, ord, coalesce(block_type, '') block_type, page, body_text,
         {collapse("array_to_string(list_transform(list_filter(list_concat(coalesce(table_caption, []), coalesce(image_caption, [])), lambda x: x is not null and x <> ''), lambda x: " + collapse(unescape('x')) + "), ' ')")} caption,
         coalesce(regexp_matches({strip('img_path')}, '(?i)[^/]\\.(jpe?g|png|webp|bmp|gif|tiff?)$'), false) is_image from laid""",
+    "nested_blocks": f"""select doc_key || '#' || ord doc_key, case when block_type = 'list' then 'list' else 'text' end block_type, 0 page_idx, case when block_type = 'list' then '' else coalesce(text, '') end as text,
+        text_level, case when block_type = 'list' then array_to_string(list_transform({ITEMS}, lambda x: {collapse(unescape('x'))}), '|') else '' end items from blocks where block_type in ('text', 'list')""",
     "markdown_blocks": f"""with c as (select distinct id doc_key, text from chunks where id is not null and chunk_type = 'chapter_text' and text is not null),
         l as (select doc_key, unnest(ls) raw, generate_subscripts(ls, 1) - 1 n from (select doc_key, regexp_split_to_array(text, '{LINE_END}') ls from c)),
         k as (select doc_key, n, regexp_replace(raw, '{WS}+$', '') line from l),

@@ -72,3 +72,25 @@ def test_engine(spark):
     assert engine.steps({"sufficient": True}, "a") is None and engine.steps(None, "a") is None and engine.steps({"new_query": "A "}, "a") is None
     assert engine.steps({"new_query": "b"}, "a") == "b" and engine.sampling("gpt-5x", seed=3) == {"seed": 3}
     assert retrieve.CANDIDATES == 40
+
+
+def test_stored_index_and_chat_calls(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "c.txt").write_text("x")
+    calls = []
+
+    def docs():
+        calls.append(1)
+        return spark.createDataFrame([("k", "a b")], "key string, text string")
+
+    open_it = lambda **kw: engine.open_index(spark, str(tmp_path / "ix"), "c", [str(tmp_path / "in")], docs, **kw)
+    assert open_it().terms.count() == 2 and open_it().terms.count() == 2 and len(calls) == 1
+    open_it(rebuild=True)
+    (tmp_path / "in" / "c.txt").write_text("y")
+    open_it()
+    assert len(calls) == 3 and index.index_path("b/", "c", "A-b/C") == "b/index=c/model=a_b_c" and index.embedder("other").dims == 384
+    ms = [{"role": "user", "content": [{"text": "a"}, "b", {"content": "c"}, " "]}, {"role": "assistant", "content": "x"}]
+    assert engine.question_of("m", ms) == "a\nb\nc" and engine.question_of(" m ", [], {"messages": ms}) == "a\nb\nc" and engine.question_of(" m ") == "m" and engine.question_of(None) == ""
+    e = engine.Engine(spark, None, spark.createDataFrame([], "key string, label string, text string")).prepare()
+    assert "".join(e.pipe("q")) == "" and e.gather("q") == ("", [])
+    e.close()

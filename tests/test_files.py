@@ -80,3 +80,28 @@ def test_stream(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
     ingest.run(ingest.arrivals(s), str(tmp_path / "out2"), str(tmp_path / "ck2")).awaitTermination()
     assert schema and spark.read.schema("start timestamp, chunk_type string, n bigint").parquet(str(tmp_path / "out2")).count() >= 0
+
+
+def test_parser_outputs(spark, tmp_path):
+    from folioforge.sources import outputs
+
+    (tmp_path / "a_content_list_v2.json").write_text('[[{"type":"paragraph","content":{"paragraph_content":"nested"}}]]')
+    (tmp_path / "a_content_list.json").write_text('[{"type":"text","text":"flat"}]')
+    (tmp_path / "b_content_list.json").write_text('[{"type":"text","text":"flat b","page_idx":2},{"type":"list","list_items":["i"]}]')
+    (tmp_path / "b.md").write_text("# md")
+    (tmp_path / "c.md").write_text("# md c\n\ntext")
+    (tmp_path / "d.json").write_text('{"no": "list"}')
+    texts = outputs.read_texts(spark, [str(tmp_path)]).selectExpr("substring(element_at(split(path, '/'), -1), 1, 1) doc_key", "path", "value")
+    got = [(r["doc_key"], r["text"], r["page_idx"]) for r in outputs.load_blocks(texts).orderBy("doc_key", "ord").collect()]
+    assert got == [("a", "nested", 0), ("b", "flat b", 2), ("b", None, None), ("c", "md c", None), ("c", "text", None)]
+    assert [outputs.parse_range(x) for x in ("1:3", "2-", ",5", None, " ")] == [(1, 3), (2, None), (None, 5), (None, None), (None, None)]
+    with pytest.raises(ValueError):
+        outputs.parse_range("x")
+
+    def parse(path):
+        if path == "bad":
+            raise RuntimeError("no")
+        return f"out of {path}"
+
+    f = spark.createDataFrame([("k", "good"), ("l", "bad")], "doc_key string, path string")
+    assert {r["doc_key"]: (r["value"], r["error"]) for r in outputs.run_parser(f, parse).collect()} == {"k": ("out of good", None), "l": (None, "RuntimeError: no")}
