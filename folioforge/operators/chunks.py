@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_pdf_text, col, strip, strip_html
+from ..types import struct
 from . import tables
 from .blocks import gather, normalized, table_body
 from .headings import heading_level, heading_paths
@@ -16,18 +18,17 @@ TABLE_ROWS, TABLE_CHARS = 25, 4000
 #: Size and overlap of sliding windows, in characters, and the least size.
 SIZE, OVERLAP, LEAST_SIZE = 1800, 250, 300
 BREAKS = ("table", "chart", "image", "seal")
-_COLUMNS = (
-    "doc_key ord sub chunk_type text heading_path chapter_title page_start page_end table_number table_row_index table_row_count table_col_count "
-    "table_body_char_count table_text_char_count table_type table_footnote_text image_path bbox is_table embed"
-).split()
+_FIELDS = (
+    "ord int, chunk_type string, text string, heading_path array<string>, chapter_title string, page_start int, page_end int, table_number int, "
+    "table_row_index int, table_row_count int, table_col_count int, table_body_char_count int, table_text_char_count int, table_type string, "
+    "table_footnote_text string, image_path string, bbox array<double>, is_table boolean, embed boolean"
+)
+_TYPE = struct(_FIELDS)
 
 
-def _full(df: DataFrame) -> DataFrame:
-    kinds = dict(
-        sub="int", heading_path="array<string>", page_start="int", page_end="int", table_number="int", table_row_index="int", table_row_count="int",
-        table_col_count="int", table_body_char_count="int", table_text_char_count="int", bbox="array<double>", is_table="boolean", embed="boolean", ord="int",
-    )
-    return df.select([(F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in _COLUMNS])
+def _chunk(**values: Column) -> Column:
+    """A chunk as a struct; fields that aren't given are null."""
+    return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _TYPE])
 
 
 def laid_out(blocks: DataFrame, blocked: bool = True) -> DataFrame:
@@ -39,70 +40,67 @@ def laid_out(blocks: DataFrame, blocked: bool = True) -> DataFrame:
     return heading_paths(b, "doc_key", "ord", "norm", "level", extra, blocked)
 
 
-def _chapters(b: DataFrame) -> DataFrame:
-    """A segment begins at each heading and behind each table or image; it is a chunk if it has text besides its title."""
-    head = F.col("level").isNotNull()
-    rows = b.where(~F.col("is_break") & (head | (F.col("body_text") != "")))
-    parts = rows.groupBy("doc_key", "seg").agg(
-        F.array_sort(F.collect_list(F.when(~head, F.struct("ord", "body_text")))).alias("body"),
+def _labelled(label: str, c: Column) -> Column:
+    return F.when(c != "", F.concat(F.lit(f"{label}: "), c))
+
+
+def _segments(b: DataFrame) -> DataFrame:
+    """One row a segment, which begins at each heading and at each table or image: its texts in order, its heading, and the table or image as `x`."""
+    head, text = F.col("level").isNotNull(), ~F.col("is_break")
+    rows = b.where(head | F.col("is_break") | (F.col("body_text") != ""))
+    page = F.when(text & F.col("page").isNotNull(), F.col("ord"))
+    first = F.struct(
+        F.col("ord"), F.col("block_type").alias("kind"), F.col("page"), F.col("bbox"), F.col("table_type"), F.col("table_no"), table_body(b).alias("body"), strip(F.coalesce("img_path", F.lit(""))).alias("image"),
+        gather("table_caption", "image_caption").alias("caption"), gather("table_footnote", "image_footnote").alias("footnote"), gather("image_caption").alias("image_caption_text"), gather("image_footnote").alias("image_footnote_text"),
+    )
+    return rows.groupBy("doc_key", "seg").agg(
+        F.array_sort(F.collect_list(F.when(text & ~head, F.struct("ord", "body_text")))).alias("texts"),
         F.max(F.when(head, F.col("norm"))).alias("own"),
         F.max("level").alias("level"),
         F.first("heading_path").alias("path"),
         F.first("depth").alias("depth"),
-        F.min("ord").alias("ord"),
-        F.min_by("page", F.when(F.col("page").isNotNull(), F.col("ord"))).alias("page_start"),
-        F.max_by("page", F.when(F.col("page").isNotNull(), F.col("ord"))).alias("page_end"),
+        F.min(F.when(text, F.col("ord"))).alias("text_ord"),
+        F.min_by("page", page).alias("page_start"),
+        F.max_by("page", page).alias("page_end"),
+        F.first(F.when(F.col("is_break"), first), ignorenulls=True).alias("x"),
     )
-    title = F.coalesce("own", F.try_element_at("path", F.lit(-1)), "doc_key")
-    level = F.coalesce("level", F.least(F.greatest("depth", F.lit(1)), F.lit(6)))
-    line = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)
-    parts = parts.where(F.size("body") > 0).withColumn("chapter_title", title)
-    path = F.when(F.size("path") > 0, F.col("path")).otherwise(F.array("chapter_title"))
-    return parts.select(
-        "doc_key", "ord", F.lit("chapter_text").alias("chunk_type"), F.concat_ws("\n\n", line, F.array_join("body.body_text", "\n\n")).alias("text"),
-        path.alias("heading_path"), "chapter_title", "page_start", "page_end", F.lit(False).alias("is_table"), F.lit(True).alias("embed"),
-    )
 
 
-def _labelled(label: str, c: Column) -> Column:
-    return F.when(c != "", F.concat(F.lit(f"{label}: "), c))
-
+def _pieces(rows_from: int, chars_from: int) -> Column:
+    """Chunks of a segment in order: those of its table or image, then its chapter.
 
-def _tables(b: DataFrame, rows_from: int, chars_from: int) -> DataFrame:
-    """A table is one chunk (caption, grid, footnote), or one chunk a data row if it is large; tables with nothing on them give none."""
-    t = b.where("is_table_block").select(
-        "doc_key", "ord", "page", "bbox", "table_type", "heading_path", "table_no", table_body(b).alias("body"),
-        gather("table_caption", "image_caption").alias("caption"), gather("table_footnote", "image_footnote").alias("footnote"),
+    A table is one chunk (caption, grid, footnote), or one a data row if it is large; tables with nothing on them give none. An image
+    with a reference and a caption or footnote is a chunk. A segment is a chapter if it has text besides its title.
+    """
+    none = F.array().cast(T.ArrayType(_TYPE))
+    x, grid, flat = F.col("x"), F.col("grid"), F.col("grid_text")
+    step = F.try_element_at("path", F.lit(-1))
+    base = dict(
+        ord=x["ord"], heading_path=F.col("path"), page_start=x["page"], page_end=x["page"], table_number=x["table_no"], table_footnote_text=x["footnote"], table_type=x["table_type"],
+        chapter_title=F.coalesce(step, "doc_key"), table_row_count=F.when(F.size(grid) > 0, F.size(grid)), table_col_count=F.array_max(F.transform(grid, F.size)), bbox=x["bbox"],
+        table_body_char_count=F.length(x["body"]), table_text_char_count=F.length(flat), is_table=F.lit(True), embed=F.lit(True),
     )
-    t = t.withColumn("grid", tables.rows_of("body"))
-    t = t.withColumn("grid_text", F.when(F.size("grid") > 0, tables.to_markdown("grid")).otherwise(strip_html("body")))
-    t = t.where((F.size("grid") > 0) | (F.col("grid_text") != "") | tables.is_html("body"))
-    title = F.coalesce(F.try_element_at("heading_path", F.lit(-1)), "doc_key")
-    t = t.withColumns({
-        "chapter_title": title, "page_start": F.col("page"), "page_end": F.col("page"), "table_number": F.col("table_no"), "table_footnote_text": F.col("footnote"),
-        "table_row_count": F.when(F.size("grid") > 0, F.size("grid")), "table_col_count": F.array_max(F.transform("grid", F.size)),
-        "table_body_char_count": F.length("body"), "table_text_char_count": F.length("grid_text"), "is_table": F.lit(True), "embed": F.lit(True),
-    })
-    large = (F.size("grid") > 0) & ((F.size("grid") >= rows_from) | (F.length("body") >= chars_from))
-    small = t.where(~large).withColumn("chunk_type", F.lit("table")).withColumn(
-        "text", F.concat_ws("\n\n", _labelled("Caption", F.col("caption")), F.when(F.col("grid_text") != "", F.col("grid_text")), _labelled("Footnote", F.col("footnote")))
-    )
-    rows = t.where(large).withColumn("header", tables.header_of("grid")).select("*", F.posexplode(tables.data_of("grid")).alias("sub", "row"))
-    rows = rows.withColumns({
-        "chunk_type": F.lit("table_row"), "table_row_index": F.col("sub") + 1,
-        "text": F.concat_ws("\n", _labelled("Caption", F.col("caption")), tables.key_values("header", "row")),
-    })
-    return _full(small).unionByName(_full(rows))
-
-
-def _images(b: DataFrame) -> DataFrame:
-    """An image with a reference and a caption or footnote is a chunk; others give none."""
-    i = b.where(~F.col("level").isNotNull() & F.col("block_type").isin("image", "seal") & (strip(F.coalesce("img_path", F.lit(""))) != ""))
-    text = F.concat_ws("\n", _labelled("Caption", gather("image_caption")), _labelled("Footnote", gather("image_footnote")))
-    return i.select(
-        "doc_key", "ord", "bbox", "heading_path", F.lit("image").alias("chunk_type"), text.alias("text"), F.try_element_at("heading_path", F.lit(-1)).alias("chapter_title"),
-        F.col("page").alias("page_start"), F.col("page").alias("page_end"), strip("img_path").alias("image_path"), F.lit(False).alias("is_table"), F.lit(True).alias("embed"),
+    caption = _labelled("Caption", x["caption"])
+    small = _chunk(chunk_type=F.lit("table"), text=F.concat_ws("\n\n", caption, F.when(flat != "", flat), _labelled("Footnote", x["footnote"])), **base)
+    row = lambda r, i: _chunk(chunk_type=F.lit("table_row"), table_row_index=i + 1, text=F.concat_ws("\n", caption, tables.key_values(tables.header_of(grid), r)), **base)
+    large = (F.size(grid) > 0) & ((F.size(grid) >= rows_from) | (F.length(x["body"]) >= chars_from))
+    is_table = x["kind"].isin("table", "chart") & ((F.size(grid) > 0) | (flat != "") | tables.is_html(x["body"]))
+    image = _chunk(
+        ord=x["ord"], chunk_type=F.lit("image"), text=F.concat_ws("\n", _labelled("Caption", x["image_caption_text"]), _labelled("Footnote", x["image_footnote_text"])), bbox=x["bbox"],
+        heading_path=F.col("path"), chapter_title=step, page_start=x["page"], page_end=x["page"], image_path=x["image"], is_table=F.lit(False), embed=F.lit(True),
     )
+    title = F.coalesce("own", step, "doc_key")
+    level = F.coalesce("level", F.least(F.greatest("depth", F.lit(1)), F.lit(6)))
+    line = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)
+    chapter = _chunk(
+        ord=F.col("text_ord"), chunk_type=F.lit("chapter_text"), text=F.concat_ws("\n\n", line, F.array_join("texts.body_text", "\n\n")), chapter_title=title,
+        heading_path=F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(title)), page_start=F.col("page_start"), page_end=F.col("page_end"), is_table=F.lit(False), embed=F.lit(True),
+    )
+    return F.concat(
+        F.when(is_table & large, F.transform(tables.data_of(grid), row)).when(is_table, F.array(small)).otherwise(none),
+        F.when(x["kind"].isin("image", "seal") & (x["image"] != ""), F.array(image)).otherwise(none),
+        F.when(F.size("texts") > 0, F.array(chapter)).otherwise(none),
+    )
 
 
 def numbered(parts: DataFrame, key: str = "doc_key", blocked: bool = True) -> DataFrame:
@@ -117,12 +115,14 @@ def numbered(parts: DataFrame, key: str = "doc_key", blocked: bool = True) -> Da
 def from_blocks(blocks: DataFrame, table_rows: int = TABLE_ROWS, table_chars: int = TABLE_CHARS) -> DataFrame:
     """Chunks of documents from their layout blocks, with id, text, content, heading path, pages, table and image metadata and references.
 
-    Blocks without doc_key are left out; ord must be unique within a document (of repeated rows both are kept, in no fixed order);
+    One exchange by document serves the windows, the segments and the numbering. Blocks without doc_key are left out; ord must be unique within a document (of repeated rows both are kept, in no fixed order);
     null pages and boxes stay null; an empty table gives no row. Extra columns are dropped.
     """
     blocked = spans_blocks(blocks, "ord")
     b = laid_out(blocks, blocked)
-    parts = _full(_chapters(b)).unionByName(_tables(b, table_rows, table_chars)).unionByName(_full(_images(b)))
+    s = _segments(b).withColumn("grid", tables.rows_of(F.when(F.col("x.kind").isin("table", "chart"), F.col("x.body"))))
+    s = s.withColumn("grid_text", F.when(F.size("grid") > 0, tables.to_markdown("grid")).otherwise(strip_html("x.body")))
+    parts = s.select("doc_key", F.posexplode(_pieces(table_rows, table_chars)).alias("sub", "p")).select("doc_key", "sub", "p.*")
     out = numbered(parts, blocked=blocked).withColumn("content", F.col("text"))
     return out.withColumn("refs", references(out))
 
