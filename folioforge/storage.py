@@ -19,8 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at or have
 
 
+_kept: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote to the shared folder; results read from them are gone. Gives their number."""
+    paths = _kept.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives the loss of executors."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

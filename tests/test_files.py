@@ -105,3 +105,10 @@ def test_parser_outputs(spark, tmp_path):
 
     f = spark.createDataFrame([("k", "good"), ("l", "bad")], "doc_key string, path string")
     assert {r["doc_key"]: (r["value"], r["error"]) for r in outputs.run_parser(f, parse).collect()} == {"k": ("out of good", None), "l": (None, "RuntimeError: no")}
+
+
+def test_shared_tables_are_cleared(spark):
+    from folioforge import storage
+
+    df = storage.written(spark, spark.range(3), "some")
+    assert df.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
