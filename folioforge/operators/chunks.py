@@ -115,7 +115,7 @@ def numbered(parts: DataFrame, key: str = "doc_key", blocked: bool = True) -> Da
 def from_blocks(blocks: DataFrame, table_rows: int = TABLE_ROWS, table_chars: int = TABLE_CHARS) -> DataFrame:
     """Chunks of documents from their layout blocks, with id, text, content, heading path, pages, table and image metadata and references.
 
-    One exchange by document serves the windows, the segments and the numbering. Blocks without doc_key are left out; ord must be unique within a document (of repeated rows both are kept, in no fixed order);
+    One exchange by document serves the windows and the segments, a second the numbering behind the table parser. Blocks without doc_key are left out; ord must be unique within a document (of repeated rows both are kept, in no fixed order);
     null pages and boxes stay null; an empty table gives no row. Extra columns are dropped.
     """
     blocked = spans_blocks(blocks, "ord")

@@ -25,7 +25,8 @@ def top_k(scored: DataFrame, k: int, score: str = "score", descending: bool = Tr
     """The k best of each query with rank from 0; ties by key. Each task keeps its own k best before the exchange (window group limit)."""
     order = F.desc(score) if descending else F.asc(score)
     w = Window.partitionBy("query_id").orderBy(order, "key")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # the number itself is compared: only then is the limit taken over into each task
+    return scored.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).withColumn("rank", F.col("__r") - 1).drop("__r")
 
 
 def doc_key(chunk_id: Column | str, text: Column | str) -> Column:
@@ -113,7 +114,7 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = CANDIDATES, alpha: floa
     score = F.round(F.coalesce("s0", F.lit(0.0)) + F.coalesce("s1", F.lit(0.0)), 12)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "key")
     got = both.select("query_id", "key", score.alias("score"), F.coalesce("f0", "f1").alias("first"))
-    return got.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).drop("first")
+    return got.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).withColumn("rank", F.col("__r") - 1).drop("first", "__r")
 
 
 def hybrid(index: Lexical, embeddings: DataFrame, queries: DataFrame, k: int = CANDIDATES, alpha: float = ALPHA) -> DataFrame:
@@ -145,7 +146,7 @@ def rerank(candidates: DataFrame, k: int = TOP, scorer: Callable[[list[str], lis
         schema = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes) + ", rerank_score double"
         scored = candidates.mapInPandas(run, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
-    return scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k)
+    return scored.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).withColumn("place", F.col("__r") - 1).drop("__r")
 
 
 def ranking_prompt_rows(candidates: DataFrame) -> DataFrame:

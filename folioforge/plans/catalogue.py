@@ -265,8 +265,9 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Two lists of each source's documents, by length and by date, fused."""
     docs = table(spark, d, "documents").where("n_chars is not null and published_at is not null").select("doc_id", "source", "n_chars", "published_at").distinct()
-    by = lambda o: docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("key"), (F.row_number().over(Window.partitionBy("source").orderBy(o, "doc_id")) - 1).alias("rank")).where(f"rank < {retrieve.CANDIDATES}")
-    return retrieve.fuse(by(F.desc("n_chars")), by(F.desc("published_at"))).select(F.col("query_id").alias("source"), F.col("key").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+    docs = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("key"), "n_chars", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
+    by = lambda c: retrieve.top_k(docs, retrieve.CANDIDATES, c).select("query_id", "key", "rank")
+    return retrieve.fuse(by("n_chars"), by("at")).select(F.col("query_id").alias("source"), F.col("key").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:

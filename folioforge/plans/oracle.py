@@ -124,6 +124,10 @@ SQL: dict[str, str] = {
     "image_chunks": f"""with {LAID}, i as (select *, {collapse("array_to_string(list_transform(list_filter(coalesce(image_caption, []), lambda x: x is not null and x <> ''), lambda x: " + collapse(unescape('x')) + "), ' ')")} cap from laid
         where lv is null and block_type in ('image', 'seal') and {strip("coalesce(img_path, '')")} <> '')
         select doc_key, ord, 'Caption: ' || cap as text, page::int page_start, {strip('img_path')} image_path from i where cap <> ''""",
+    "table_grids": f"""with c as (select doc_key, ord, list_transform(regexp_extract_all(table_body, '<tr>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '<td>(.*?)</td>', 1), lambda x: {norm('x')})) g from blocks where table_body is not null),
+        f as (select doc_key, ord, list_filter(g, lambda r: array_to_string(r, '') <> '') g from c), m as (select *, list_max(list_transform(g, lambda r: len(r))) w from f),
+        p as (select doc_key, ord, list_transform(g, lambda r: '| ' || array_to_string(list_transform(list_resize(r, w, ''), lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |') l, w from m)
+        select doc_key, ord, len(l)::int n_rows, coalesce(array_to_string(list_concat(list_concat(l[1:1], ['| ' || array_to_string(list_transform(range(w), lambda x: '---'), ' | ') || ' |']), l[2:]), chr(10)), '') markdown from p""",
     "markdown_table_rows": """select s_suppkey, unnest([0, 1])::int row_no, unnest(['key: ' || s_suppkey || chr(10) || 'name: ' || s_name || chr(10) || 'Column: x', 'key: a' || chr(10) || 'name: ' || chr(10) || 'Column: ']) as text from supplier""",
     "chunk_sliding_window": f"""with d as (select doc_id::varchar stem, {collapse(chr(39).join(['replace(coalesce(text, ', '', '), chr(0), ', ' ', ')']))} t from documents),
         w as (select stem, t, unnest(range(0, case when length(t) <= 1800 then 1 else ceil((length(t) - 1800) / 1550.0)::bigint + 1 end)) i from d where t <> '')
