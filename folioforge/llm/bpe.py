@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Where the vocabulary files of the public tokenizers lie; a parameter of every function, overridden by FOLIOFORGE_TOKENIZERS.
 VOCAB_DIR = os.environ.get("FOLIOFORGE_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -117,13 +119,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(_ranks(sent.value))
         for b in batches:
-            ids: list[int] = []
-            ends = np.zeros(b.num_rows + 1, np.int32)
-            for i, t in enumerate(b.column(1).to_pylist(), 1):
-                ids += enc.encode(t)
-                ends[i] = len(ids)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.asarray(ids, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], [key, "ids"])
+            texts = b.column(1).to_pylist()
+            for first, last in slices(texts):
+                ids: list[int] = []
+                ends = np.zeros(last - first + 1, np.int32)
+                for i in range(first, last):
+                    ids += enc.encode(texts[i])
+                    ends[i - first + 1] = len(ids)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.asarray(ids, np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), lists], [key, "ids"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 

@@ -90,6 +90,23 @@ def scan_groups(
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+#: Characters of text that a Python worker takes in hand at once.
+SLICE_CHARS = 4_000_000
+
+
+def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of an Arrow batch of at most `chars` characters (or one text), so that long texts don't pile up in a worker."""
+    a = held = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if held and held + n > chars:
+            yield a, i
+            a, held = i, 0
+        held += n
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def seq_block(id_col: str = "id", rows: int = 4096) -> Column:
     """Block number of a chunk within its source, from the running number at the end of its id.
 

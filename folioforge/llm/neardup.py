@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_chunks, texts_of, written
+from .common import WORD, slices, text_chunks, texts_of, written
 from .shingles import Signer
 
 #: Words of a shingle, least words of a chunk, least share of common shingles.
@@ -34,7 +34,7 @@ def embedded(chunks: DataFrame, width: int, least_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(width, BANDS, ROWS, SEGMENTS)
-        for b in batches:
+        for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(1).to_pylist())):
             at, s, starts = signer.sets(b.column(1).to_pylist(), least_words)
             if not at:
                 continue

@@ -52,3 +52,10 @@ def test_document_operators(spark):
     assert {r[0] for r in truncation.found(docs).collect()} == {4}
     assert {r["source"]: r["truncated"] for r in truncation.shares(docs).collect()} == {"s": 1, None: 0, "t": 0}
     assert truncation.found(docs.limit(0)).count() == 0 and bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_slices():
+    from folioforge.llm.common import slices
+
+    assert list(slices(["aa", None, "b", "cccc", "d"], 3)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(slices([])) == [] and list(slices([None, ""])) == [(0, 2)]
