@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, embed_text
@@ -17,6 +17,14 @@ from ..storage import written
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Folders of stored postings, and parts in which the postings of one folder are written.
+BUCKETS, SPLIT = 64, 4
+
+
+def bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Embedder:
     """Settings of an embedding model: dimensions and texts a request."""
@@ -52,16 +60,22 @@ class Lexical:
     corpus: DataFrame
 
     def write(self, path: str) -> Lexical:
-        """Write the tables under `path`; postings sorted by term within files, so that a query reads only the row groups of its terms."""
+        """Write the tables under `path`, the postings in BUCKETS folders by the hash of their term and sorted by term, so that a query
+        reads only the folders, and of these the row groups, of its terms."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+        rows = self.postings.drop("bucket").withColumn("bucket", bucket("term"))
+        # a frequent term's postings may fill several tasks: documents are dealt over SPLIT parts of each bucket
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPLIT)))
+        dealt.sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         for name in ("lengths", "terms", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         return Lexical.read(spark, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Lexical:
-        return Lexical(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms", "corpus")))
+        lengths, terms, corpus = (spark.read.parquet(f"{path}/{n}") for n in ("lengths", "terms", "corpus"))
+        schema = f"term string, key {dict(lengths.dtypes)['key']}, tf int, bucket int"  # given, as an empty index has no folders
+        return Lexical(spark.read.schema(schema).parquet(f"{path}/postings"), lengths, terms, corpus)
 
 
 def lexical(docs: DataFrame, key: str = "doc_id", text: str = "text", store: bool = True) -> Lexical:

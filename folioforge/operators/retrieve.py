@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import WS, col, snippet
 from ..storage import written
-from .index import B, K1, Lexical
+from .index import B, K1, Lexical, bucket
 
 #: Candidates of each list, results after re-ranking, weight of the vector list, constant of the fusion, decimal places of scores.
 CANDIDATES, TOP, ALPHA, RRF, PLACES = 40, 15, 0.55, 60, 6
@@ -42,7 +42,11 @@ def bm25(index: Lexical, queries: DataFrame, k: int = CANDIDATES, query_id: str
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.split(F.coalesce(text, F.lit("")), f"{WS}+")).alias("term"))
     terms = terms.where("term <> ''").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hits = index.postings.join(terms.join(index.terms, "term"), "term").join(index.lengths, "key").crossJoin(F.broadcast(index.corpus))  # corpus: one row
+    postings = index.postings
+    if "bucket" in postings.columns:  # a stored index: only the folders of the queries' terms are read; at most BUCKETS numbers come to the driver
+        wanted = [r[0] for r in terms.select(bucket("term")).distinct().collect()]
+        postings = postings.where(F.col("bucket").isin(wanted)).drop("bucket")
+    hits = postings.join(terms.join(index.terms, "term"), "term").join(index.lengths, "key").crossJoin(F.broadcast(index.corpus))  # corpus: one row
     tf = F.col("tf").cast("double")
     weight = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "key").agg(F.round(F.sum(weight), PLACES).alias("score"))

@@ -68,6 +68,11 @@ def test_index_tables(spark, tmp_path):
     ix = index.lexical(docs, store=False)
     back = ix.write(str(tmp_path / "ix"))
     assert back.terms.count() == ix.terms.count() == 5 and back.corpus.first()["n"] == 6
+    q = spark.createDataFrame([(0, "a c c"), (1, "z")], "query_id int, text string")
+    a, b = (retrieve.bm25(x, q, 4).orderBy("query_id", "rank") for x in (ix, back))
+    assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+    folders = [f.name for f in (tmp_path / "ix" / "postings").iterdir() if f.is_dir()]
+    assert 1 < len(folders) <= 5 and all(f.startswith("bucket=") for f in folders)
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.jsonl").write_text("x")
     one = index.fingerprint(spark, [str(tmp_path / "f")]).first()[0]
@@ -77,4 +82,5 @@ def test_index_tables(spark, tmp_path):
     assert one != two and not index.stale(meta, one, "m") and index.stale(meta, two, "m") and index.stale(meta, one, "o") and index.stale(None, one, "m") and index.stale(meta, one, "m", True)
     e = index.embedded(docs, lambda ts: [[float(len(t))] for t in ts], index.EMBEDDERS["local"])
     assert {r["key"]: r["embedding"][0] for r in e.collect()}[4] == 1.0
-    assert index.lexical(spark.createDataFrame([], "doc_id long, text string")).terms.count() == 0
+    empty = index.lexical(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.terms.count() == 0 and retrieve.bm25(empty.write(str(tmp_path / "none")), q, 4).count() == 0
