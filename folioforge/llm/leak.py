@@ -19,9 +19,20 @@ REPEATS, SAMPLED = 12, 7
 #: Items are compared in blocks of at most this many words, so that what is sent to the executors is bounded whatever the items.
 BLOCK_WORDS = 500_000
 
+#: Words of the runs that are counted before any window is embedded.
+GRAM = 3
+
 _PAD = np.uint64(0x51ED270B)
 
 
+def grams(h: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the runs of q words."""
+    s = h[: max(0, len(h) - q + 1)].copy()
+    for k in range(1, q):
+        s = mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(s)])
+    return s
+
+
 class Walk:
     """CGK embedding of windows of `width` words, of which only sampled positions are kept and hashed to one key a repetition.
 
@@ -87,7 +98,7 @@ class Items:
             owner += [item] * max(0, n)
             self.words += ws
         self.h = hash64(self.words, {})
-        self.known = np.unique(self.h)
+        self.grams: dict[int, np.ndarray] = {}
         self.starts, self.owner = np.array(starts, np.int64), owner
         self.keys, self.order = [], []
         for r in range(repeats):
@@ -104,10 +115,13 @@ class Items:
             return
         doc_end = np.repeat(np.asarray(ends), np.diff([0, *ends]))
         starts = np.arange(len(h) - w + 1)
-        known = np.isin(h, self.known)
-        miss = np.concatenate([[0], np.cumsum(~known)])
-        # a window with more words unknown to the items than edits are allowed can't match
-        starts = starts[(starts + w <= doc_end[: len(starts)]) & (miss[starts + w] - miss[starts] <= edits)]
+        # an edit destroys at most q of a window's q-grams, so a window with too few that the items have can't match
+        q = GRAM if w - GRAM + 1 - edits * GRAM >= 1 else 1
+        if q not in self.grams:
+            self.grams[q] = np.unique(grams(self.h, q))
+        common = np.concatenate([[0], np.cumsum(np.isin(grams(h, q), self.grams[q]))])
+        starts = starts[starts + w <= doc_end[: len(starts)]]
+        starts = starts[common[starts + w - q + 1] - common[starts] >= w - q + 1 - edits * q]
         done: set[tuple[int, int]] = set()
         for r in range(self.repeats):
             k = self.walk.keys(h, starts, r)
