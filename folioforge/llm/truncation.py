@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, texts_of, written
+from .common import BROADCAST_CLASSES, WORD, hash64, mix, slices, texts_of, written
 from .shingles import Signer
 
 #: Near copies: words of a shingle, least similarity, bands and rows of the min-hash.
@@ -26,7 +27,14 @@ SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u20
 OMISSION = r"(?:\(more\)|\[more\]|\(continued\)|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|…|\.{3,}|\x{FFFD})"
 CLOSE = r"[\"'”“’»«›)\]]"
 
+# Fixed value: how a sentence goes on.
+ON = r"[ \t]*[,;]?[ \t]+[^\W\d_A-Z]|[ \t]+\("
+
 _omitted = re.compile(OMISSION.replace(r"\x{FFFD}", "�") + r"$")
+_on = re.compile(r"\w|" + ON)
+#: A word, how its sentence goes on, and marks behind it at which a text may be cut.
+_going = re.compile(rf"({WORD.pattern})(?=(_|{ON})?)(?=([\W_]*?[,;:(])?)")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def last_line(text: Column) -> Column:
@@ -68,64 +76,140 @@ def terminality(docs: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """Candidates of near copies among the distinct texts: a (the longest text of a cell), b (another text of it), both hashes of texts.
+def _signed(docs: DataFrame) -> DataFrame:
+    """Each distinct text with a shingle: c (hash of the text), chars, run (hash of its closing words), last (characters of the word behind them), bare (nothing stands behind that word), cells.
 
-    What a cut text lacks stands in a longer copy, so each text is compared with the longest of each of its cells: a cell of any size
-    costs one pair a member, never a square.
+    The last word may be cut, so the run is of the CLOSING - 1 whole words before it; null where `stops_inside` can't hold.
     """
     rows = docs.where("text is not null").select(F.xxhash64("text").alias("c"), F.length("text").alias("chars"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(WIDTH, BANDS, ROWS)
+        signer, seen = Signer(WIDTH, BANDS, ROWS), {}
         for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(2).to_pylist())):
-            at, s, starts = signer.sets(b.column(2).to_pylist(), WIDTH)
-            if at:
-                keys = signer.keys(s, starts)
-                take = pa.array([i for i in at for _ in range(BANDS)])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys.reshape(-1))], ["c", "chars", "cell"])
+            texts = b.column(2).to_pylist()
+            at, s, starts = signer.sets(texts, WIDTH)
+            if not at:
+                continue
+            keys = signer.keys(s, starts)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            runs, last, bare = [], [], []
+            for t in (texts[i] for i in at):
+                end, words = _end(t)
+                runs.append(int(_run_hashes([w.group() for w in words[-CLOSING:-1]], seen)[0]) if words else None)
+                last.append(len(words[-1].group()) if words else 0)
+                bare.append(bool(words) and words[-1].end() == len(end))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(runs, pa.int64()), pa.array(last, pa.int32()), pa.array(bare, pa.bool_()), cells], ["c", "chars", "run", "last", "bare", "cells"])
+
+    return rows.mapInArrow(run, "c bigint, chars int, run bigint, last int, bare boolean, cells array<bigint>").dropDuplicates(["c"])
+
+
+def _run_hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
+    """Hash of each run of CLOSING - 1 words."""
+    h = hash64(words, seen)
+    n = max(0, len(h) - CLOSING + 2)
+    out = h[:n].copy()
+    for k in range(1, CLOSING - 1):
+        out = mix(out * _STEP + h[k : n + k])
+    return out.view(np.int64)
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """Each place of the texts (c, text) at which another text's closing run may stand: c, run, next (characters of the word behind it), on (the sentence goes on behind that word), mark (so it may behind a mark)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(1).to_pylist())):
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = _going.findall(t)
+                runs = _run_hashes([x[0] for x in got], seen)[: max(0, len(got) - CLOSING + 1)]
+                behind = got[CLOSING - 1 :]
+                cols = [pa.array([c] * len(runs), pa.int64()), pa.array(runs), pa.array([len(x[0]) for x in behind], pa.int32()), pa.array([x[1] != "" for x in behind], pa.bool_()), pa.array([x[2] != "" for x in behind], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, ["c", "run", "next", "on", "mark"])
+
+    return texts.select("c", "text").mapInArrow(run, "c bigint, run bigint, next int, on boolean, mark boolean")
 
-    cells = rows.mapInArrow(run, "c bigint, chars int, cell bigint").distinct()
-    heads = cells.groupBy("cell").agg(F.max(F.struct("chars", "c")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    return cells.join(heads.select("cell", F.col("h.c").alias("a")), "cell").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+
+def _closed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What candidates are made of: ends (cell, run, last, bare, c: texts that may be cut), places (cell, run, next, on, mark, chars, c: texts in which the closing run of a text of the same cell stands), texts (c, text).
+
+    Hot cells are split by the closing run, and no partner is dropped.
+    """
+    spark = docs.sparkSession
+    signed = written(spark, _signed(docs), "truncation-signed")
+    cells = signed.select("c", "chars", "run", "last", "bare", F.explode("cells").alias("cell"))
+    live = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count("run").alias("cuts")).where("n > 1 and cuts > 0").select("cell")
+    cells = written(spark, cells.join(live, "cell", "left_semi"), "truncation-cells")
+    texts = texts_of(spark, docs.where("text is not null").select(F.xxhash64("text").alias("c"), "text"), cells.select(F.col("c").alias("a"), F.col("c").alias("b")))
+    ends = cells.where("run is not null").select("cell", "run", "last", "bare", "c")
+    runs = written(spark, ends.groupBy("run").agg(F.min("last").alias("least")), "truncation-runs")
+    few = runs.count() <= BROADCAST_CLASSES
+    at = _places(texts).join(F.broadcast(runs) if few else runs, "run").where("next >= least and (on or mark or next > least)").select("c", "run", "next", "on", "mark").distinct()
+    at = written(spark, at, "truncation-places")
+    return ends, at.join(cells.select("cell", "chars", "c"), "c").join(ends.select("cell", "run").distinct(), ["cell", "run"], "left_semi"), texts
+
+
+def _pairs(ends: DataFrame, places: DataFrame) -> DataFrame:
+    """Texts in whose cells another text may go on behind their closing run: a (that other), b (the text that may be cut), both hashes of texts."""
+    e, p = ends.alias("e"), places.alias("p")
+    goes = "p.cell = e.cell and p.run = e.run and p.c <> e.c and (if(e.bare, p.on, p.mark) and p.next = e.last or e.bare and p.next > e.last)"
+    return e.join(p, F.expr(goes)).select(F.col("p.c").alias("a"), F.col("e.c").alias("b")).distinct()
 
 
 def ends_early(docs: DataFrame) -> DataFrame:
     """Texts whose near copy goes on behind the place at which they stop inside a sentence: c (hash of the text).
 
-    Exact copies are one text.
+    Exact copies are one text. One copy that goes on is enough, so each text is first compared with one for each of its cells (the
+    longest that has its closing run), and with all the others only where none of these shows the cut.
     """
-    pairs = written(docs.sparkSession, _pairs(docs), "truncation-pairs")
-    texts = texts_of(docs.sparkSession, docs.where("text is not null").select(F.xxhash64("text").alias("c"), "text"), pairs)
+    spark = docs.sparkSession
+    ends, places, texts = _closed(docs)
+    heads = places.groupBy("cell", "run").agg(F.max(F.struct("on", "next", "chars", "mark", "c")).alias("h")).select("cell", "run", "h.*")
+    first = written(spark, _pairs(ends, heads), "truncation-first")
+    early = written(spark, _verified(first, texts), "truncation-early")
+    rest = _pairs(ends.join(early, "c", "left_anti"), places).join(first, ["a", "b"], "left_anti")
+    return early.unionByName(_verified(written(spark, rest, "truncation-rest"), texts))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), each b that is a near copy of its a and stops inside a sentence of it: c."""
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
+            for b, x, y in zip(pdf["b"], pdf["ta"], pdf["tb"]):
+                if not stops_inside(y, x):
+                    continue
                 wx, wy = WORD.findall(x.lower()), WORD.findall(y.lower())
                 sx, sy = (set(zip(*(w[k:] for k in range(WIDTH)))) for w in (wx, wy))
                 n = len(sx & sy)
-                if n < SIMILARITY * (len(sx) + len(sy) - n):
-                    continue
-                if stops_inside(x, y):
-                    out.append((a,))
-                if stops_inside(y, x):
+                if n >= SIMILARITY * (len(sx) + len(sy) - n):
                     out.append((b,))
             yield pd.DataFrame(out, columns=["c"])
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "c bigint").distinct()
+    return both.select("b", "ta", "tb").mapInPandas(run, "c bigint").distinct()
+
+
+def _end(text: str) -> tuple[str, list[re.Match]]:
+    """A text up to its last sign that is no white space or omission, and its last words (more than CLOSING); no words where it can't stop inside a sentence."""
+    end = _omitted.sub("", text.rstrip()).rstrip()
+    if not end or not (end[-1].isalnum() or end[-1] in ",;:("):
+        return end, []
+    back = 400
+    while len(words := list(WORD.finditer(end, max(0, len(end) - back)))) <= CLOSING + 1 and back < len(end):  # the first may be only the end of a word
+        back *= 4
+    return end, words if len(words) > CLOSING else []
 
 
 def stops_inside(short: str, other: str) -> bool:
     """Whether the end of `short` is found in `other`, and the other goes on there inside the same sentence."""
-    end = _omitted.sub("", short.rstrip()).rstrip()
-    words = list(WORD.finditer(end))
-    if len(words) < CLOSING + 1 or not end or not (end[-1].isalnum() or end[-1] in ",;:("):
+    end, words = _end(short)
+    if not words:
         return False
     closing = end[words[-CLOSING - 1].start() :]  # the last word may be cut, so it is matched as a prefix
     at = other.rfind(closing)
-    return at >= 0 and bool(re.match(r"\w|[ \t]*[,;]?[ \t]+[^\W\d_A-Z]|[ \t]+\(", other[at + len(closing) :]))
+    return at >= 0 and bool(_on.match(other, at + len(closing)))
 
 
 def judged(docs: DataFrame) -> DataFrame:

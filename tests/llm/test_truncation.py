@@ -39,3 +39,22 @@ def test_near_copy_shows_the_cut(spark):
     got = {x["doc_id"]: x["early"] for x in truncation.judged(_docs(spark, [full, cut, full])).collect()}
     assert got == {0: False, 1: True, 2: False}
     assert {x[0] for x in truncation.found(_docs(spark, [full, cut, full])).collect()} == {1}
+
+
+def test_cut_is_found_behind_a_longer_variant(spark):
+    """The longest text of a cut text's cells has another ending; the copy that goes on is another one. Among the others are texts that are no near copies."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(900)]
+    sentence = lambda n=12: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    texts, want = [], set()
+    for family in range(3):
+        base = "\n".join(sentence() for _ in range(150))
+        for v in range(6):
+            own = f"{base}\nTitle {sentence(9)[:-1].lower()} was kept in the file."
+            texts += [own, own[: own.index(" was kept") - v % 2]]
+            want.add(len(texts) - 1)
+        texts += [f"{base}\n{sentence(40)}", base[: len(base) * 3 // 4] + "\nTitle of the proof", "\n".join([base[: len(base) * 2 // 3], sentence(400), own])]
+    got = {x["doc_id"] for x in truncation.judged(_docs(spark, texts)).where("early").collect()}
+    assert got == want
+    s = [set(zip(*(w[k:] for k in range(5)))) for w in (truncation.WORD.findall(t.lower()) for t in texts)]
+    assert got == {i for i in range(len(texts)) if any(len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) and truncation.stops_inside(texts[i], texts[j]) for j in range(len(texts)))}
