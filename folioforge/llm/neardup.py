@@ -136,27 +136,31 @@ def found(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS,
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): (node, root), root being the least node. All on the cluster.
 
-    Least labels spread along edges and jump to their label's label, so the rounds grow with the logarithm of the longest chain;
-    each round is written to the shared folder.
+    Each node points to a lower one of its component. In a round the least grandparent among the neighbours of a node is handed to the
+    node and to its parent, and the node is moved up to its own grandparent, so whole trees are hooked onto lower ones while they get
+    flatter (simulated on chains in sorted and random order: 11 or 12 rounds for 1,000 nodes, 21 or 22 for 1,000,000). It ends when
+    a round changes nothing; each round is written to the shared folder.
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(spark, both, "components-edges")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
     label = written(spark, label, "components-0")
-    for k in range(1, rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("to"))
-        jump = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        step = step.join(jump, "to", "left").select("node", "root", F.least("to", F.coalesce("next", "to")).alias("new"))
+    changed, k = True, 0
+    while changed:
+        k += 1
+        up = label.join(label.select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
+        up = written(spark, up.select("node", "root", "top"), f"components-up-{k}")
+        near = both.join(up.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("m"))
+        near = up.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("top", "m").alias("to"))
+        hooks = near.groupBy(F.col("root").alias("node")).agg(F.min("to").alias("hook"))
+        step = near.join(hooks, "node", "left").select("node", "root", F.least("root", "to", "hook").alias("new"))
         step = written(spark, step, f"components-{k}")
-        changed = step.where(F.col("new") != F.col("root")).limit(1).count()
+        changed = step.where(F.col("new") != F.col("root")).limit(1).count() > 0
         label = step.select("node", F.col("new").alias("root"))
-        if not changed:
-            break
     return label
 
 

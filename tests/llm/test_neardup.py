@@ -87,3 +87,13 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     got = {x["node"]: x["root"] for x in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and got[102] == 100 and got[200] == 200
+
+
+def test_components_of_long_chains_with_shuffled_ids(spark):
+    r = random.Random(7)
+    ids = r.sample(range(-(10**15), 10**15), 2200)
+    chains = [ids[:1500], sorted(ids[1500:2100]), ids[2100:]]
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:])]
+    r.shuffle(edges)
+    got = {x["node"]: x["root"] for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
