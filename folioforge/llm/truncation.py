@@ -214,15 +214,21 @@ def stops_inside(short: str, other: str) -> bool:
 
 def judged(docs: DataFrame) -> DataFrame:
     """Every text with anything on it (a last line without any word is no cut): doc_id, source, shape, early (its alignment ends early), score (terminality of its last word), truncated."""
-    rows = docs.where("doc_id is not null and text is not null").where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "source", F.xxhash64("text").alias("c"), last_line(F.col("text")).alias("line"))
-    rows = rows.select("doc_id", "source", "c", shape(F.col("line")).alias("shape"), F.lower(F.regexp_extract(_bare(F.col("line")), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("word"))
+    text, line = F.col("text"), last_line(F.col("text"))
+    behind = F.substring(text, F.length(F.rtrim(text, F.lit(SPACE))) + 1, F.lit(1))
+    rows = docs.where("doc_id is not null and text is not null").where(text.rlike(r"(?U)\S")).select("doc_id", "source", F.xxhash64("text").alias("c"), line.alias("line"), behind.alias("behind"))
+    closes = F.col("line").rlike(r"[\p{L}\p{N}]$") & F.col("behind").isin("", "\n", "\r")  # terminality() has counted the last word as closing
+    rows = rows.select("doc_id", "source", "c", shape(F.col("line")).alias("shape"), closes.alias("closes"), F.lower(F.regexp_extract(_bare(F.col("line")), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("word"))
     early = ends_early(docs).withColumn("early", F.lit(True))
     stat = terminality(docs)
     last = rows.where(F.col("shape") == "line").select("word").distinct()
     stat = stat.join(last, "word", "left_semi")
-    got = rows.join(early, "c", "left").join(stat, "word", "left")
-    # the text's own last word counts once as closing and once as used; it is left out
-    score = F.when(F.col("word") == "", F.lit(1.0)).otherwise((F.greatest(F.coalesce("closing", F.lit(1)) - 1, F.lit(0)) + 0.05) / F.greatest(F.coalesce("uses", F.lit(1)), F.lit(1)))
+    copies = docs.where("text is not null").groupBy(F.xxhash64("text").alias("c")).agg(F.count("*").alias("copies")).where("copies > 1")
+    got = rows.join(early, "c", "left").join(stat, "word", "left").join(copies, "c", "left")
+    # the last word of a text counts once however many copies there are, and of the closing words the text's own is left out
+    more = F.coalesce("copies", F.lit(1)) - 1
+    closing = F.coalesce("closing", F.lit(1)) - 1 - F.when(F.col("closes"), more).otherwise(0)
+    score = F.when(F.col("word") == "", F.lit(1.0)).otherwise((F.greatest(closing, F.lit(0)) + 0.05) / F.greatest(F.coalesce("uses", F.lit(1)) - more, F.lit(1)))
     got = got.withColumns({"early": F.coalesce("early", F.lit(False)), "score": F.when(F.col("shape") == "line", score)})
     open_end = F.col("shape").isin("open", "omitted") | (F.col("early") & ~F.col("shape").isin("stop", "link"))
     return got.select("doc_id", "source", "shape", "early", "score", (open_end | ((F.col("shape") == "line") & (F.col("score") < TERMINAL))).alias("truncated"))

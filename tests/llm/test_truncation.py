@@ -58,3 +58,17 @@ def test_cut_is_found_behind_a_longer_variant(spark):
     assert got == want
     s = [set(zip(*(w[k:] for k in range(5)))) for w in (truncation.WORD.findall(t.lower()) for t in texts)]
     assert got == {i for i in range(len(texts)) if any(len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) and truncation.stops_inside(texts[i], texts[j]) for j in range(len(texts)))}
+
+
+def test_copies_do_not_vouch_for_their_own_last_word(spark):
+    """A cut text stays a case however often it is delivered; a word that closes lines of other texts still closes one."""
+    cut, cut2, title = f"{BASE}\nThe annex of the fir", f"{BASE}\nThe annex\nof the seco\n", f"{BASE}\nA proof in annexes"
+    marked = f"{BASE}\nThe proof in annexes )"
+    others = [f"{BASE} They kept {k} annexes." for k in range(3)]
+    texts = [cut, cut2, title, marked] + others
+    for n in (1, 2, 9):
+        docs = _docs(spark, [t for t in texts for _ in range(n if t in (cut, cut2, title, marked) else 1)])
+        got = {r[0] for r in truncation.found(docs).collect()}
+        assert got == set(range(2 * n))
+    hot = _docs(spark, [cut] * 9 + [f"{BASE} The end."])
+    assert {round(r["score"], 6) for r in truncation.judged(hot).where("shape = 'line'").collect()} == {0.05}
