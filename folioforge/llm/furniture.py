@@ -63,8 +63,10 @@ LINE = [
     r"(sign up for|subscribe to) the .{1,60} newsletter", r"suscríbase al boletín de .{1,60}", r"abonnez-vous à la lettre .{1,60}", r"newsletter von .{1,60} abonnieren",
     r"(©|\(c\)|copyright) ?\d{4}.{1,60}\. (all rights reserved|todos los derechos reservados|tous droits réservés|alle rechte vorbehalten|tutti i diritti riservati|todos os direitos reservados|alle rechten voorbehouden|wszelkie prawa zastrzeżone|alla rättigheter förbehållna)\.?",
 ]
+#: A longer line is no skip link, prompt or footer; menus, breadcrumbs and consent notices are of any length.
+LINE_CHARS = 400
 # Signs that separate the entries of a menu, and the steps of a breadcrumb.
-MENU_SEP, CRUMB_SEP = r"\s+[•·|/]\s+|\s{2,}|\t+", r"\s+[›»>→]\s+"
+MENU_SEP, CRUMB_SEP = r"\s+[•·|/]\s+|\s{2,}|\t+", r"\s[›»>→]\s"
 
 _menu = {x.lower() for v in MENU.values() for x in v.split("|")}
 _box = {x.lower() for x in BOX.split("|")}
@@ -81,12 +83,10 @@ def seed(line: str) -> str | None:
         return "menu"
     if low.rstrip(":") in _box:
         return "box"
-    if len(s) > 400:
-        return None
-    if _line.fullmatch(s):
+    if len(s) <= LINE_CHARS and _line.fullmatch(s):
         return "prompt"
-    parts = _crumb_sep.split(s)
-    if len(parts) > 1 and parts[0].lower() in _menu:
+    at = _crumb_sep.search(s)
+    if at and s[: at.start()].rstrip().lower() in _menu:
         return "crumb"
     parts = _menu_sep.split(s)
     if len(parts) > 1 and sum(p.lower() in _menu for p in parts) * 2 > len(parts):

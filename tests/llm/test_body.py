@@ -62,3 +62,12 @@ def test_phrases():
              "Ce site utilise des témoins. Refuser Tout accepter": "consent", "Aviso legal > Contacto > 7.3. La mesa": "crumb", "Home rules apply here.": None,
              "Se escribe «página de inicio» en minúscula (42).": None, "Accept all changes in the draft.": None, SENTENCE: None}
     assert {k: furniture.seed(k) for k in kinds} == kinds
+
+
+def test_long_lines_are_labelled_too():
+    notice = "This site uses cookies to measure visits. " * 12 + "Reject Accept all"
+    menu = " | ".join(["Home", "Press room", "Contact", "Help", "a name"] * 12)
+    crumb = "Home   ›  News › " + " › ".join(["A name of a page"] * 30)
+    assert min(map(len, (notice, menu, crumb))) > 400
+    assert [furniture.seed(x) for x in (notice, menu, crumb, SENTENCE * 9)] == ["consent", "menu", "crumb", None]
+    assert furniture.seed("a" + " " * 200_000 + "b") is None
