@@ -76,3 +76,11 @@ def test_grid_golden():
         ["h x", "h x", "k"], ["r", "1", "2"], ["r", "", ""], ["r", "3", ""],
     ]
     assert parsers.html_grid(None) == [] and parsers.html_grid("") == []
+
+
+def test_span_over_many_rows():
+    n = parsers.MOST_SPAN + 200
+    rows = "".join(f"<tr><td>a{i}<td>b{i}</tr>" for i in range(1, n))
+    grid = parsers.html_grid(f"<table><tr><td rowspan={n}>side<td>a0<td>b0</tr>{rows}</table>")
+    assert grid == [["side", f"a{i}", f"b{i}"] for i in range(n)]
+    assert parsers.html_grid("<table><tr><td rowspan=99999999999>x<td colspan=99999999>y</tr></table>") == [["x"] + ["y"] * parsers.MOST_SPAN]
