@@ -47,12 +47,12 @@ def texts_of(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def scan_groups(
-    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[tuple, dict[str, list]], Iterator[tuple]], schema: str
+    df: DataFrame, keys: list[str], order: list[str], fn: Callable[[tuple, dict[str, list]], Iterator[tuple]], schema: str, most: int
 ) -> DataFrame:
     """Apply `fn(key, columns)` to each group of `keys`, its rows sorted by `order`, as one linear scan.
 
-    One exchange on the keys, one sort, then an Arrow stream; only the group in hand is in memory, so the
-    caller must bound the size of a group (see `block`).
+    One exchange on the keys, one sort, then an Arrow stream; only the group in hand is in memory. Callers split large groups by a
+    key of their own; a group that still has more than `most` rows is handed over in pieces of so many.
     """
     names = df.columns
 
@@ -77,9 +77,14 @@ def scan_groups(
                 if ks[i] != at:
                     flush(out)
                     held, at = {c: [] for c in names}, ks[i]
-                for c in names:
-                    held[c].extend(cols[c][i:j])
-                i = j
+                while i < j:
+                    k = min(j, i + most - len(held[names[0]]))
+                    for c in names:
+                        held[c].extend(cols[c][i:k])
+                    i = k
+                    if i < j:
+                        flush(out)
+                        held = {c: [] for c in names}
             if out:
                 yield pd.DataFrame(out, columns=out_names)
         out = []

@@ -1,8 +1,7 @@
-"""Fixed phrases of page furniture and the seed labeller of problem 1.
+"""Fixed phrases of page furniture: the labeller of the sample from which problem 1 learns its weights.
 
-The labeller gives the *labelled pages* from which the token and tag weights of
-:mod:`folioforge.llm.body` are learned; it knows only whole-line phrases, never
-single words, so a sentence that merely speaks of cookies or home pages is body.
+It is used on the labelled sample only, never where lines are judged. It knows whole-line phrases, not single words, so a sentence
+that merely speaks of cookies or home pages is labelled as body.
 """
 
 from __future__ import annotations
