@@ -70,10 +70,7 @@ def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tup
 
 
 def _oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
-    rows = chunks.select("id", "heading_path", "chunk_type", "text", chunk_text().alias("body"))
-    rows = rows.where((F.length("body") > limit) | (F.length("text") > limit)).select(
-        "id", "heading_path", "chunk_type", F.coalesce(F.length("text"), F.lit(0)).alias("text_chars"), F.coalesce("body", "text").alias("body")
-    )
+    rows = chunks.select("id", "heading_path", "chunk_type", chunk_text().alias("body")).where(F.length("body") > limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,10 +81,10 @@ def _oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
                     no.append(n)
                     starts.append(s)
                     pieces.append(p)
-            got = pdf[["id", "heading_path", "chunk_type", "text_chars"]].iloc[at].reset_index(drop=True)
+            got = pdf[["id", "heading_path", "chunk_type"]].iloc[at].reset_index(drop=True)
             yield got.assign(piece_no=no, start=starts, piece=pieces)
 
-    return rows.mapInPandas(run, "id string, heading_path array<string>, chunk_type string, text_chars int, piece_no int, start int, piece string")
+    return rows.mapInPandas(run, "id string, heading_path array<string>, chunk_type string, piece_no int, start int, piece string")
 
 
 def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -103,6 +100,6 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
 
 
 def found(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Ids of the chunks whose text, as stored, the splitter has to cut."""
+    """Ids of the chunks that come out in more than one piece, of `text`, or of `content` where text is null or blank. Null ids are left out."""
     cut = _oversized(chunks.where(F.col("id").isNotNull()), limit, overlap)
-    return cut.where((F.col("piece_no") == 1) & (F.col("text_chars") > limit)).select("id").distinct()
+    return cut.where("piece_no = 2").select("id").distinct()

@@ -13,7 +13,7 @@ often as (select source_pdf, norm from n join size using (source_pdf) group by s
 found as (select distinct id, line_no::int line_no from n join often using (source_pdf, norm))"""
 
 SQL: dict[str, str] = {
-    "p4_found": "select distinct id from chunks where id is not null and length(text) > 1800",
+    "p4_found": f"select distinct id from chunks where id is not null and length({BODY}) > 1800",
     "p5_found": f"with {REPEATED} select id, line_no from found",
     "p5_clean": f"""with {REPEATED}, g as (select id, count(*)::int removed, list(line_no) gone from found group by id)
         select id, removed, coalesce((select string_agg(line, chr(10) order by line_no) from (select distinct id, line, line_no from l) l where l.id = g.id and not list_contains(gone, line_no)), '') clean from g""",
