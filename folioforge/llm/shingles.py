@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 from .common import WORD, hash64, mix
@@ -21,10 +23,13 @@ class Signer:
 
     def sets(self, texts: list[str | None], least: int) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Which texts have at least `least` words; the distinct shingle hashes of these, one text behind the other; where each begins."""
+        return self.sets_of((WORD.findall(t.lower()) if t else [] for t in texts), least)
+
+    def sets_of(self, texts: Iterable[list[str]], least: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The same of texts that are lists of words."""
         words: list[str] = []
         at, starts = [], []
-        for i, t in enumerate(texts):
-            ws = WORD.findall(t.lower()) if t else []
+        for i, ws in enumerate(texts):
             if len(ws) >= max(least, self.width):
                 at.append(i)
                 starts.append(len(words))

@@ -1,107 +1,108 @@
-"""Problem 9: texts cut off before their end (min-hash banding, alignment of near copies, closing-word terminality)."""
+"""Problem 9: texts cut off before their end (min-hash banding, alignment of near copies, closing-word terminality).
+
+A text that doesn't end with a full stop is looked for in longer near copies: the min-hash bands of nested heads of a text (its first
+HEAD words, twice, four times as many, and so on) bring it together with its copies wherever it was cut; the copies are verified on
+whole texts and aligned at its closing words, and it is cut if one of them goes on there inside the sentence. What has no such copy
+is scored by the terminality of its closing word: how often that word ends a line or sentence, and how often lines of the same form
+end without a full stop, over all lines of all texts but their last ones, which alone can be cut.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_CLASSES, WORD, hash64, mix, slices, texts_of, written
 from .shingles import Signer
 
-#: Near copies: words of a shingle, least similarity, bands and rows of the min-hash.
-WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
+#: Near copies: words of a shingle, least share of the cut text's shingles that the copy holds, bands and rows of the min-hash, words of the shortest head.
+WIDTH, SIMILARITY, BANDS, ROWS, HEAD = 5, 0.8, 6, 3, 24
 #: Words of the closing run that is looked up in the other copy.
 CLOSING = 8
-#: Share of a word's uses that close a sentence or line from which an open last line may end with it, and the longest such line.
-TERMINAL, HEADING_CHARS = 0.2, 110
+#: Terminality from which a text may end with a word, how many uses the mean rate counts as beside those of the word, and the longest line that needn't be running text.
+TERMINAL, WEIGHT, LINE_CHARS = 0.05, 4.0, 110
+#: Entries of the table of words that a task holds before it hands them on.
+HELD = 500_000
 
-# Fixed value: the white space that may stand at the end of a text.
-SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Signs of omission that may follow a cut, and closing marks that may follow a full stop.
-OMISSION = r"(?:\(more\)|\[more\]|\(continued\)|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|…|\.{3,}|\x{FFFD})"
+OMISSION = r"(?:\(more\)|\[more\]|\(continued\)|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|…|\.{3,}|�)"
 CLOSE = r"[\"'”“’»«›)\]]"
-
 # Fixed value: how a sentence goes on.
 ON = r"[ \t]*[,;]?[ \t]+[^\W\d_A-Z]|[ \t]+\("
 
-_omitted = re.compile(OMISSION.replace(r"\x{FFFD}", "�") + r"$")
+_omitted = re.compile(OMISSION + r"$")
+_stop = re.compile(rf"[.!?]{CLOSE}*$")
+_break = re.compile(rf"(?:\w\w|[^\w\s])[.!?;]{CLOSE}*\s+\S")  # behind an initial stands no end of a sentence
+_number = re.compile(r"\W*(?:[0-9]+[.)])+\s+")
+_line = re.compile(r"[\r\n]+")
+_digits = re.compile(r"[0-9]+")
 _on = re.compile(r"\w|" + ON)
 #: A word, how its sentence goes on, and marks behind it at which a text may be cut.
 _going = re.compile(rf"({WORD.pattern})(?=(_|{ON})?)(?=([\W_]*?[,;:(])?)")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "”“’»«›…·•"
 
 
-def last_line(text: Column) -> Column:
-    """The last line with anything on it, of a line of over 1,000 characters its end (all that `shape` looks at), by linear scans."""
-    bare = F.rtrim(text, F.lit(SPACE))
-    return F.right(F.substring_index(F.substring_index(bare, "\n", -1), "\r", -1), F.lit(1000))
+def form(line: str) -> str:
+    """Form of a line, by which terminality is counted: 'p' with the end of a sentence inside or long (running text), else 's' and the class of its first sign (a letter, 0 a digit, else the sign), with '|' for a row."""
+    if len(line) > LINE_CHARS or _break.search(line, (m := _number.match(line)) and m.end() or 0):
+        return "p"
+    c = line[0]
+    return "s" + ("a" if c.isalpha() else "0" if c.isdigit() else c) + ("|" if " | " in line or "\t" in line else "")
 
 
-def _bare(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, r"(?U)\s*" + OMISSION + r"\s*$", ""), r"(?U)^\s+|\s+$", "")
+def word_of(token: str) -> str:
+    """A token as it is counted: case kept, digits as one sign, no marks around it."""
+    return _digits.sub("#", token.strip(_EDGE)) or token
 
 
-def shape(line: Column) -> Column:
-    """How a text ends by its last line: stop, omitted, list, row, signature, link, line (short, open) or open."""
-    bare = _bare(line)
-    inside = bare.rlike(r"[.!?;]" + CLOSE + r"*\s+\S") | (F.length(bare) > HEADING_CHARS)
-    return (
-        F.when(line.rlike(OMISSION + r"\s*$"), F.lit("omitted"))
-        .when(bare.rlike(r"[.!?…]" + CLOSE + r"*$"), F.lit("stop"))
-        .when(bare.rlike(r"^(?:[-•*–·]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+\S") & ~inside, F.lit("list"))
-        .when(bare.rlike(r"\S\s+\|\s+\S|^\|.*\|$|\t") & ~bare.rlike(r"[.!?]" + CLOSE + r"*\s+\p{Lu}"), F.lit("row"))
-        .when(bare.rlike(r"^(?:https?://|www\.|/)\S+$"), F.lit("link"))
-        .when(bare.rlike(r"^\(.{1,80}\)$") & ~bare.rlike(r"^\([^)]*\)\s"), F.lit("signature"))
-        .when(bare.rlike(r"^(?:Done at|Contact:|Annex\b|ANNEX\b)") & ~inside, F.lit("signature"))
-        .when(bare.rlike(r"^\p{Lu}\S+(?:\s\p{Lu}\S+){0,3}, \p{L}[^.!?]{2,40}$") & ~inside, F.lit("signature"))
-        .when(inside, F.lit("open"))
-        .otherwise(F.lit("line"))
-    )
+def ending(text: str) -> tuple[str, str, str, bool]:
+    """How a text with anything on it ends: stop, omitted or open; the form of its last line; its closing word; whether that is written like one inside a sentence."""
+    end = text.rstrip()
+    bare = _omitted.sub("", end).rstrip()
+    if len(bare) < len(end):
+        return "omitted", "", "", False
+    if _stop.search(bare):
+        return "stop", "", "", False
+    line = _line.split(bare)[-1].strip()
+    token = line.split()[-1]
+    letters = token.strip(_EDGE)
+    return "open", form(line), word_of(token), letters.isalpha() and letters[0].islower()
 
 
-def terminality(docs: DataFrame) -> DataFrame:
-    """Of each word, over all texts: how often it closes a sentence or line, and how often it is used: word, closing, uses."""
-    lines = docs.where("text is not null").select(F.explode(F.split("text", r"[\r\n]+")).alias("line"))
-    words = lines.select(F.explode(F.regexp_extract_all(F.concat(F.lower("line"), F.lit("\n")), F.lit(r"[\p{L}\p{N}]+[.!?\n]?"), F.lit(0))).alias("w"))
-    word = F.regexp_replace("w", r"[.!?\n]$", "")
-    forms = words.groupBy("w").agg(F.count("*").alias("n"))
-    return forms.groupBy(word.alias("word")).agg(
-        F.sum(F.when(F.col("w").rlike(r"[.!?\n]$"), F.col("n")).otherwise(0)).alias("closing"), F.sum("n").alias("uses")
-    )
-
+def _end(text: str) -> tuple[str, list[re.Match]]:
+    """A text up to its last sign that is no white space or omission, and its last words (more than CLOSING); no words where it can't stop inside a sentence."""
+    end = _omitted.sub("", text.rstrip()).rstrip()
+    if not end or not (end[-1].isalnum() or end[-1] in ",;:("):
+        return end, []
+    back = 400
+    while len(words := list(WORD.finditer(end, max(0, len(end) - back)))) <= CLOSING + 1 and back < len(end):  # the first may be only the end of a word
+        back *= 4
+    return end, words if len(words) > CLOSING else []
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """Each distinct text with a shingle: c (hash of the text), chars, run (hash of its closing words), last (characters of the word behind them), bare (nothing stands behind that word), cells.
 
-    The last word may be cut, so the run is of the CLOSING - 1 whole words before it; null where `stops_inside` can't hold.
-    """
-    rows = docs.where("text is not null").select(F.xxhash64("text").alias("c"), F.length("text").alias("chars"), "text")
+def stops_inside(short: str, other: str) -> bool:
+    """Whether the end of `short` is found in `other`, and the other goes on there inside the same sentence.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen = Signer(WIDTH, BANDS, ROWS), {}
-        for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(2).to_pylist())):
-            texts = b.column(2).to_pylist()
-            at, s, starts = signer.sets(texts, WIDTH)
-            if not at:
-                continue
-            keys = signer.keys(s, starts)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            runs, last, bare = [], [], []
-            for t in (texts[i] for i in at):
-                end, words = _end(t)
-                runs.append(int(_run_hashes([w.group() for w in words[-CLOSING:-1]], seen)[0]) if words else None)
-                last.append(len(words[-1].group()) if words else 0)
-                bare.append(bool(words) and words[-1].end() == len(end))
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(runs, pa.int64()), pa.array(last, pa.int32()), pa.array(bare, pa.bool_()), cells], ["c", "chars", "run", "last", "bare", "cells"])
-
-    return rows.mapInArrow(run, "c bigint, chars int, run bigint, last int, bare boolean, cells array<bigint>").dropDuplicates(["c"])
+    A number or a word in capitals can't go on inside: an `Annex I` is no cut `Annex II`."""
+    end, words = _end(short)
+    if not words:
+        return False
+    closing = end[words[-CLOSING - 1].start() :]  # the last word may be cut, so it is matched as a prefix
+    at = other.rfind(closing)
+    if at < 0:
+        return False
+    last = words[-1].group()
+    if other[at + len(closing) : at + len(closing) + 1].isalnum() and (last.isdigit() or last.isupper()):
+        return False
+    return bool(_on.match(other, at + len(closing)))
 
 
 def _run_hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
@@ -114,6 +115,98 @@ def _run_hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
     return out.view(np.int64)
 
 
+class Counts:
+    """Of each (form, word) over complete lines: how often the word ends such a line without a full stop (open), how often in any way (ends), how often a line or sentence (closing), and how often it is used."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+
+    def add(self, text: str) -> None:
+        lines = [x for x in map(str.strip, _line.split(text)) if x]
+        for line in lines[:-1]:
+            f = form(line)
+            tokens = line.split()
+            for t in tokens:
+                own = self.held[f, word_of(t)]
+                own[3] += 1
+                own[2] += _stop.search(t) is not None
+            own[1] += 1
+            if not _stop.search(line):
+                own[0] += 1
+                own[2] += 1
+
+    def taken(self) -> list[tuple]:
+        out = [(f, w, *n) for (f, w), n in self.held.items()]
+        self.held.clear()
+        return out
+
+
+EXAMINED = "doc_id bigint, source string, c bigint, ending string, form string, word string, small boolean, run bigint, last int, bare boolean, cells array<bigint>, open bigint, ends bigint, closing bigint, uses bigint"
+
+
+def _examined(docs: DataFrame) -> DataFrame:
+    """One pass over the texts. A row for each text (without `uses`): how it ends, its closing run where it may be cut, and its cells;
+    and rows of `Counts` (form, word, open, ends, closing, uses), added up in each task."""
+    rows = docs.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "source", F.xxhash64("text").alias("c"), "text")
+    names = [x.split()[0] for x in EXAMINED.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def batch(**cols: list | pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        got = [cols.get(k, pa.nulls(n, t)) for k, t in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(got, kinds)], names)
+
+    def counted(counts: Counts) -> pa.RecordBatch:
+        cols = map(list, zip(*counts.taken()))
+        return batch(**dict(zip(("form", "word", "open", "ends", "closing", "uses"), cols)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, seen, counts = Signer(WIDTH, BANDS, ROWS), {}, Counts()
+        for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(3).to_pylist())):
+            ends, runs, last, bare, heads, of = [], [], [], [], [], []
+            texts = b.column(3).to_pylist()
+            for k, t in enumerate(texts):
+                counts.add(t)
+                ends.append(ending(t))
+                end, closing = _end(t) if ends[-1][0] == "open" else ("", [])
+                runs.append(int(_run_hashes([w.group() for w in closing[-CLOSING:-1]], seen)[0]) if closing else None)
+                last.append(len(closing[-1].group()) if closing else 0)
+                bare.append(bool(closing) and closing[-1].end() == len(end))
+                words = WORD.findall(t.lower())
+                n = HEAD
+                while n <= len(words):
+                    heads.append(words[:n])
+                    of.append(k)
+                    n *= 2
+            cells: list[list[int]] = [[] for _ in texts]
+            if heads:
+                _, s, starts = signer.sets_of(heads, WIDTH)
+                for k, own in zip(of, signer.keys(s, starts).tolist()):
+                    cells[k] += own  # heads in order, so the last BANDS cells are those of the longest
+            kind, form_, word, small = map(list, zip(*ends))
+            yield batch(doc_id=b.column(0), source=b.column(1), c=b.column(2), ending=kind, form=form_, word=word, small=small, run=runs, last=last, bare=bare, cells=cells)
+            if len(counts.held) > HELD:
+                yield counted(counts)
+        if counts.held:
+            yield counted(counts)
+
+    return rows.mapInArrow(run, EXAMINED)
+
+
+def terminality(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From counts (form, word, open, ends, closing, uses): forms (form, rate: share of the lines of the form that end without a full
+    stop; fresh: share of the words at their ends that are used once in all), and words (word, times: how much oftener than the mean
+    it ends a line or sentence)."""
+    each = counts.groupBy("form", "word").agg(*[F.sum(c).alias(c) for c in ("open", "ends", "closing", "uses")])
+    words = each.groupBy("word").agg(F.sum("closing").alias("closing"), F.sum("uses").alias("uses"), F.collect_list(F.struct("form", "open", "ends")).alias("f"))  # forms are few
+    rows = words.select("uses", F.inline("f"))
+    once = F.when((F.col("uses") == 1) & (F.col("open") == 1), 1).otherwise(0)
+    forms = rows.groupBy("form").agg((F.sum("open") / F.sum("ends")).alias("rate"), (F.sum(once) / F.greatest(F.sum("open"), F.lit(1))).alias("fresh"))
+    mean = words.agg((F.sum("closing") / F.sum("uses")).alias("mean"))  # one row
+    share = (F.col("closing") + F.lit(WEIGHT) * F.col("mean")) / (F.col("uses") + F.lit(WEIGHT))
+    return forms, words.crossJoin(F.broadcast(mean)).select("word", (share / F.col("mean")).alias("times"))
+
+
 def _places(texts: DataFrame) -> DataFrame:
     """Each place of the texts (c, text) at which another text's closing run may stand: c, run, next (characters of the word behind it), on (the sentence goes on behind that word), mark (so it may behind a mark)."""
 
@@ -130,23 +223,27 @@ def _places(texts: DataFrame) -> DataFrame:
     return texts.select("c", "text").mapInArrow(run, "c bigint, run bigint, next int, on boolean, mark boolean")
 
 
-def _closed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What candidates are made of: ends (cell, run, last, bare, c: texts that may be cut), places (cell, run, next, on, mark, chars, c: texts in which the closing run of a text of the same cell stands), texts (c, text).
+def _closed(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What candidates are made of: ends (cell, run, last, bare, c: texts that may be cut, with the cells of their longest head), places (cell, run, next, on, mark, c: texts in which the closing run of a text of the same cell stands), texts (c, text).
 
-    Hot cells are split by the closing run, and no partner is dropped.
+    Only cells with a text that may be cut and another text go on; large ones are split by the closing run, and no partner is dropped.
     """
     spark = docs.sparkSession
-    signed = written(spark, _signed(docs), "truncation-signed")
-    cells = signed.select("c", "chars", "run", "last", "bare", F.explode("cells").alias("cell"))
-    live = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count("run").alias("cuts")).where("n > 1 and cuts > 0").select("cell")
-    cells = written(spark, cells.join(live, "cell", "left_semi"), "truncation-cells")
-    texts = texts_of(spark, docs.where("text is not null").select(F.xxhash64("text").alias("c"), "text"), cells.select(F.col("c").alias("a"), F.col("c").alias("b")))
-    ends = cells.where("run is not null").select("cell", "run", "last", "bare", "c")
+    cut = F.explode(F.when(F.col("run").isNotNull(), F.slice("cells", F.greatest(F.size("cells") - BANDS + 1, F.lit(1)), BANDS)))
+    ends = texts.where("run is not null and size(cells) > 0").select("run", "last", "bare", "c", cut.alias("cell")).distinct()
+    live = ends.groupBy("cell").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    live = written(spark, live, "truncation-live")
+    few = live.count() <= BROADCAST_CLASSES
+    cells = texts.select("c", F.explode("cells").alias("cell")).join(F.broadcast(live) if few else live, "cell").where("c <> least or least <> most").select("cell", "c").distinct()
+    cells = written(spark, cells, "truncation-cells")
+    ends = written(spark, ends.join(cells.select("cell").distinct(), "cell", "left_semi"), "truncation-ends")
+    either = cells.select("c").unionByName(ends.select("c")).select(F.col("c").alias("a"), F.col("c").alias("b"))
+    wanted = texts_of(spark, docs.where("text is not null").select(F.xxhash64("text").alias("c"), "text"), either)
     runs = written(spark, ends.groupBy("run").agg(F.min("last").alias("least")), "truncation-runs")
     few = runs.count() <= BROADCAST_CLASSES
-    at = _places(texts).join(F.broadcast(runs) if few else runs, "run").where("next >= least and (on or mark or next > least)").select("c", "run", "next", "on", "mark").distinct()
+    at = _places(wanted).join(F.broadcast(runs) if few else runs, "run").where("next >= least and (on or mark or next > least)").select("c", "run", "next", "on", "mark").distinct()
     at = written(spark, at, "truncation-places")
-    return ends, at.join(cells.select("cell", "chars", "c"), "c").join(ends.select("cell", "run").distinct(), ["cell", "run"], "left_semi"), texts
+    return ends, at.join(cells, "c").join(ends.select("cell", "run").distinct(), ["cell", "run"], "left_semi"), wanted
 
 
 def _pairs(ends: DataFrame, places: DataFrame) -> DataFrame:
@@ -156,82 +253,63 @@ def _pairs(ends: DataFrame, places: DataFrame) -> DataFrame:
     return e.join(p, F.expr(goes)).select(F.col("p.c").alias("a"), F.col("e.c").alias("b")).distinct()
 
 
-def ends_early(docs: DataFrame) -> DataFrame:
-    """Texts whose near copy goes on behind the place at which they stop inside a sentence: c (hash of the text).
+def ends_early(docs: DataFrame, examined: DataFrame) -> DataFrame:
+    """Texts whose near copy goes on behind the place at which they stop inside a sentence: c (hash of the text), size (its characters).
 
-    Exact copies are one text. One copy that goes on is enough, so each text is first compared with one for each of its cells (the
-    longest that has its closing run), and with all the others only where none of these shows the cut.
+    Exact copies are one text. One copy that goes on is enough, so each text is first compared with one for each of its cells (that
+    in which most can stand behind its closing run), and with all the others only where none of these shows the cut.
     """
     spark = docs.sparkSession
-    ends, places, texts = _closed(docs)
-    heads = places.groupBy("cell", "run").agg(F.max(F.struct("on", "next", "chars", "mark", "c")).alias("h")).select("cell", "run", "h.*")
+    ends, places, texts = _closed(docs, examined)
+    heads = places.groupBy("cell", "run").agg(F.max(F.struct("on", "next", "mark", "c")).alias("h")).select("cell", "run", "h.*")
     first = written(spark, _pairs(ends, heads), "truncation-first")
     early = written(spark, _verified(first, texts), "truncation-early")
     rest = _pairs(ends.join(early, "c", "left_anti"), places).join(first, ["a", "b"], "left_anti")
     return early.unionByName(_verified(written(spark, rest, "truncation-rest"), texts))
 
 
+def contained(short: list[str], other: list[str]) -> bool:
+    """Whether `other` holds at least SIMILARITY of the shingles of `short`."""
+    s, t = (set(zip(*(w[k:] for k in range(WIDTH)))) for w in (short, other))
+    return len(s & t) >= SIMILARITY * len(s)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), each b that is a near copy of its a and stops inside a sentence of it: c."""
+    """Of the pairs (a, b), each b of which a is a near copy that goes on where b stops inside a sentence: c."""
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for b, x, y in zip(pdf["b"], pdf["ta"], pdf["tb"]):
-                if not stops_inside(y, x):
-                    continue
-                wx, wy = WORD.findall(x.lower()), WORD.findall(y.lower())
-                sx, sy = (set(zip(*(w[k:] for k in range(WIDTH)))) for w in (wx, wy))
-                n = len(sx & sy)
-                if n >= SIMILARITY * (len(sx) + len(sy) - n):
-                    out.append((b,))
+            out = [(b,) for b, x, y in zip(pdf["b"], pdf["ta"], pdf["tb"]) if stops_inside(y, x) and contained(WORD.findall(y.lower()), WORD.findall(x.lower()))]
             yield pd.DataFrame(out, columns=["c"])
 
     return both.select("b", "ta", "tb").mapInPandas(run, "c bigint").distinct()
 
 
-def _end(text: str) -> tuple[str, list[re.Match]]:
-    """A text up to its last sign that is no white space or omission, and its last words (more than CLOSING); no words where it can't stop inside a sentence."""
-    end = _omitted.sub("", text.rstrip()).rstrip()
-    if not end or not (end[-1].isalnum() or end[-1] in ",;:("):
-        return end, []
-    back = 400
-    while len(words := list(WORD.finditer(end, max(0, len(end) - back)))) <= CLOSING + 1 and back < len(end):  # the first may be only the end of a word
-        back *= 4
-    return end, words if len(words) > CLOSING else []
-
-
-def stops_inside(short: str, other: str) -> bool:
-    """Whether the end of `short` is found in `other`, and the other goes on there inside the same sentence."""
-    end, words = _end(short)
-    if not words:
-        return False
-    closing = end[words[-CLOSING - 1].start() :]  # the last word may be cut, so it is matched as a prefix
-    at = other.rfind(closing)
-    return at >= 0 and bool(_on.match(other, at + len(closing)))
-
-
 def judged(docs: DataFrame) -> DataFrame:
-    """Every text with anything on it (a last line without any word is no cut): doc_id, source, shape, early (its alignment ends early), score (terminality of its last word), truncated."""
-    text, line = F.col("text"), last_line(F.col("text"))
-    behind = F.substring(text, F.length(F.rtrim(text, F.lit(SPACE))) + 1, F.lit(1))
-    rows = docs.where("doc_id is not null and text is not null").where(text.rlike(r"(?U)\S")).select("doc_id", "source", F.xxhash64("text").alias("c"), line.alias("line"), behind.alias("behind"))
-    closes = F.col("line").rlike(r"[\p{L}\p{N}]$") & F.col("behind").isin("", "\n", "\r")  # terminality() has counted the last word as closing
-    rows = rows.select("doc_id", "source", "c", shape(F.col("line")).alias("shape"), closes.alias("closes"), F.lower(F.regexp_extract(_bare(F.col("line")), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)).alias("word"))
-    early = ends_early(docs).withColumn("early", F.lit(True))
-    stat = terminality(docs)
-    last = rows.where(F.col("shape") == "line").select("word").distinct()
-    stat = stat.join(last, "word", "left_semi")
-    copies = docs.where("text is not null").groupBy(F.xxhash64("text").alias("c")).agg(F.count("*").alias("copies")).where("copies > 1")
-    got = rows.join(early, "c", "left").join(stat, "word", "left").join(copies, "c", "left")
-    # the last word of a text counts once however many copies there are, and of the closing words the text's own is left out
-    more = F.coalesce("copies", F.lit(1)) - 1
-    closing = F.coalesce("closing", F.lit(1)) - 1 - F.when(F.col("closes"), more).otherwise(0)
-    score = F.when(F.col("word") == "", F.lit(1.0)).otherwise((F.greatest(closing, F.lit(0)) + 0.05) / F.greatest(F.coalesce("uses", F.lit(1)) - more, F.lit(1)))
-    got = got.withColumns({"early": F.coalesce("early", F.lit(False)), "score": F.when(F.col("shape") == "line", score)})
-    open_end = F.col("shape").isin("open", "omitted") | (F.col("early") & ~F.col("shape").isin("stop", "link"))
-    return got.select("doc_id", "source", "shape", "early", "score", (open_end | ((F.col("shape") == "line") & (F.col("score") < TERMINAL))).alias("truncated"))
+    """Every text with anything on it: doc_id, source, ending (stop, omitted, open), form (of the last line of an open one), early (a near copy goes on), score (terminality of its closing word), truncated.
+
+    Null, empty and blank texts and null ids give no row; repeated rows are judged alike; a short line of a form that no complete line of
+    the table has is taken as complete, running text as cut. The score of a word written small is the rate of the form times how much oftener than the mean
+    the word ends a line or sentence, or, if no complete line has it, times the share of such words at the end of such lines; that
+    of a name or number is the rate of the form.
+    """
+    spark = docs.sparkSession
+    all_ = written(spark, _examined(docs), "truncation-examined")
+    texts = all_.where("uses is null")
+    early = ends_early(docs, texts).withColumn("early", F.lit(True))
+    counts = all_.where("uses is not null").select("form", "word", "open", "ends", "closing", "uses")
+    rows = texts.where("doc_id is not null").select("doc_id", "source", "c", "ending", "form", "word", "small")
+    forms, words = terminality(counts)
+    asked = rows.where("ending = 'open' and small").select("word").distinct()
+    words = words.join(asked, "word", "left_semi")
+    got = rows.join(early, "c", "left").join(words, "word", "left").join(F.broadcast(forms), "form", "left")  # forms: a class of lines each
+    # most cut words are new, but few of those that end a heading are; names and numbers, wherever they stand else, may end a line
+    word = F.when(F.col("small"), F.coalesce("times", "fresh")).otherwise(F.lit(1.0))
+    score = F.when(F.col("rate").isNull(), F.when(F.col("form") == "p", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.col("rate") * word))
+    got = got.withColumns({"early": F.coalesce("early", F.lit(False)), "score": F.when(F.col("ending") == "open", F.round(score, 6))})
+    cut = (F.col("ending") == "omitted") | ((F.col("ending") == "open") & (F.col("early") | (F.col("score") < TERMINAL)))
+    return got.select("doc_id", "source", "ending", "form", "early", "score", cut.alias("truncated"))
 
 
 def found(docs: DataFrame) -> DataFrame:
