@@ -18,10 +18,10 @@ from .common import WORD, text_chunks
 CODES = {
     "en": "eng", "fr": "fra fre", "de": "deu ger", "es": "spa", "it": "ita", "pt": "por", "nl": "nld dut", "pl": "pol", "el": "ell gre", "sv": "swe",
 }
-#: Bound of the labelled sample: chunks of each label, by hash of the id; and sentences of each label taken from them.
-SAMPLE_CHUNKS, SAMPLE_SENTENCES = 250, 500
-#: Dimensions of the hashed n-gram space, longest n-gram, centroids per language, dimensions of the sketch that estimates norms.
-DIM, GRAM, CENTROIDS, SKETCH = 4096, 4, 3, 64
+#: Bound of the labelled sample: chunks of each label, by hash of the id, of at most so many characters; sentences of a chunk and of each label taken from them.
+SAMPLE_CHUNKS, SAMPLE_CHARS, CHUNK_SENTENCES, SAMPLE_SENTENCES = 250, 20_000, 4, 500
+#: Dimensions of the hashed n-gram space, longest n-gram, centroids per language, n-grams of a word and sentences that are taken at once.
+DIM, GRAM, CENTROIDS, AT_ONCE, ROWS = 4096, 4, 3, 65_536, 512
 #: A segment whose best cosine is under this share of the low (2 %) quantile seen in training is of no known language.
 REJECT = 0.6
 #: Confidence under which a sentence is given the main language of its chunk's other sentences.
@@ -32,7 +32,7 @@ MIN_CHARS = 60
 _markup = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&#?\w+;|\\[A-Za-z]+\*?|!?\[\[?(?:File:)?|\]\]?(?:\([^()\s]*\))?|\{\{[^{}]*\}\}|[{}*`~_]|'{2,}", re.S)
 _sentence = re.compile(r"(?<=[.;!?])[)”»\"]*\s+")
 _stop = re.compile(r"[.;!?…][)”»\"’\]]*$")
-_paren = re.compile(r"\((?:[a-z]{2}: [^()]*|[^()]*\d[^()]*)\)")
+_paren = re.compile(r"\([^()]*\d[^()]*\)")
 
 
 def named(lang: Column) -> Column:
@@ -70,17 +70,27 @@ def _bucket(g: str) -> int:
     return xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % DIM
 
 
-def _vector(sentence: str, idf: np.ndarray | None) -> np.ndarray:
-    v = np.zeros(DIM, np.float32)
-    for w in WORD.findall(sentence.lower()):
-        if not w.isdigit():
-            for g in grams(w[:40]):
-                v[_bucket(g)] += 1
-    if idf is not None:
-        v *= idf
-        n = float(np.linalg.norm(v))
-        v /= n or 1.0
-    return v
+def buckets(word: str) -> np.ndarray:
+    """Hashed n-grams of a word; numbers have none."""
+    return np.array([_bucket(g) for g in grams(word)] if not word.isdigit() else [], np.int64)
+
+
+def counted(sentences: list[str]) -> np.ndarray:
+    """A row of DIM n-gram counts for each sentence."""
+    seen: dict[str, np.ndarray] = {}
+    out = np.zeros((len(sentences), DIM), np.float32)
+    for i, s in enumerate(sentences):
+        for w in WORD.findall(s.lower()):
+            if w not in seen:
+                seen[w] = buckets(w)
+            np.add.at(out[i], seen[w], 1)
+    return out
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF vectors of length 1."""
+    x = counts * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -97,53 +107,65 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Model:
-    """Centroids in the hashed TF-IDF space, kept as one matrix; words are projected once and cached."""
+    """Centroids in the hashed TF-IDF space, each of a language, and of each language the low quantile of the cosines in the fit.
+
+    Words are hashed and projected on the centroids once and kept (up to a bound); a sentence is the sum of its words, over its length
+    in the space, which is counted exactly.
+    """
 
     def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, floor: np.ndarray):
         self.langs, self.of, self.floor = langs, of, floor
         self.args = (langs, idf, centroids, of, floor)
-        rng = np.random.default_rng(7)
-        sketch = np.zeros((DIM, SKETCH), np.float32)
-        sketch[np.arange(DIM), rng.integers(0, SKETCH, DIM)] = rng.choice([-1.0, 1.0], DIM)
-        self.proj = (np.concatenate([centroids.T, sketch], 1) * idf[:, None]).astype(np.float32)
-        self.n = len(centroids)
+        self.proj = (centroids.T * idf[:, None]).astype(np.float32)
+        self.squares = idf.astype(np.float64) ** 2
         self._reset()
 
     def _reset(self) -> None:
         self.seen: dict[str, int] = {}
         self.rows = np.zeros((1024, self.proj.shape[1]), np.float32)
+        self.grams: list[np.ndarray] = []
 
     def _word(self, w: str) -> int:
         i = len(self.seen)
         if i == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if not w.isdigit():
-            self.rows[i] = self.proj[[_bucket(g) for g in grams(w[:40])]].sum(0)
+        g = buckets(w)
+        for a in range(0, len(g), AT_ONCE):
+            self.rows[i] += self.proj[g[a : a + AT_ONCE]].sum(0)
+        self.grams.append(g)
         self.seen[w] = i
         return i
 
     def classify(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language (-1: none) and confidence of each sentence."""
+        parts = [self._some(sentences[a : a + ROWS]) for a in range(0, len(sentences), ROWS)]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0))
+
+    def _some(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.seen) > 200_000:
             self._reset()
         ids: list[int] = []
-        starts = np.zeros(len(sentences), np.int64)
+        ends = []
         seen = self.seen
-        for k, s in enumerate(sentences):
-            starts[k] = len(ids)
+        for s in sentences:
             ws = WORD.findall(s.lower())
-            try:
-                ids.extend([seen[w] for w in ws] or [-1])
-            except KeyError:
-                ids.extend([seen[w] if w in seen else self._word(w) for w in ws])
-        if not sentences:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.asarray(ids)
-        took = self.rows[at]
-        took[at < 0] = 0
-        sums = np.add.reduceat(took, starts, 0)
-        cos = sums[:, : self.n] / np.maximum(np.linalg.norm(sums[:, self.n :], axis=1, keepdims=True), 1e-6)
-        best = np.full((len(sentences), len(self.langs)), -1.0)
+            ids.extend([seen[w] if w in seen else self._word(w) for w in ws])
+            ends.append(len(ids))
+        n = len(sentences)
+        of = np.repeat(np.arange(n), np.diff([0, *ends]))
+        sums = np.zeros((n, self.proj.shape[1]), np.float32)
+        norm = np.full(n, 1e-9)
+        if ids:
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            sums[of[first]] = np.add.reduceat(self.rows[ids], first, 0)
+            held = [self.grams[i] for i in ids]
+            key = np.concatenate(held) + np.repeat(of * DIM, [len(g) for g in held])
+            key.sort()
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            times = np.diff(np.append(at, len(key))).astype(np.float64)
+            norm += np.sqrt(np.bincount(key[at] // DIM, times * times * self.squares[key[at] % DIM], n))
+        cos = sums / norm[:, None]
+        best = np.full((n, len(self.langs)), -1.0)
         for j, lang in enumerate(self.of):
             best[:, lang] = np.maximum(best[:, lang], cos[:, j])
         top = best.argmax(1)
@@ -157,15 +179,14 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     data: dict[str, list[str]] = {}
     for lang, text in rows:
         own = data.setdefault(lang, [])
-        own.extend(s for s in running(text)[:4] if len(s) >= 40 and len(own) < SAMPLE_SENTENCES)
+        own.extend(s for s in running(text)[:CHUNK_SENTENCES] if len(s) >= 40 and len(own) < SAMPLE_SENTENCES)
     langs = sorted(k for k, v in data.items() if v)
     if not langs:
         return Model(["en"], np.ones(DIM, np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), np.ones(1))
-    x = np.stack([_vector(s, None) for k in langs for s in data[k]])
+    x = counted([s for k in langs for s in data[k]])
     y = np.concatenate([np.full(len(data[k]), i) for i, k in enumerate(langs)])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = weighted(x, idf)
     keep = np.ones(len(x), bool)
     for _ in range(3):
         c = np.stack([x[keep & (y == i)].mean(0) if (keep & (y == i)).any() else np.zeros(DIM, np.float32) for i in range(len(langs))])
@@ -198,7 +219,7 @@ def train(chunks: DataFrame) -> Model:
     if not ids:
         return fit([])
     # at most SAMPLE_CHUNKS ids of each of ten labels: a bounded broadcast
-    rows = own.join(F.broadcast(chosen), "id").select("id", "label", F.substring("body", 1, 20_000).alias("t")).dropDuplicates(["id"]).orderBy("label", "id").collect()
+    rows = own.join(F.broadcast(chosen), "id").where(F.length("body") <= SAMPLE_CHARS).select("id", "label", F.col("body").alias("t")).dropDuplicates(["id"]).orderBy("label", "id").collect()
     return fit([(r["label"], r["t"]) for r in rows])
 
 

@@ -231,7 +231,7 @@ def passages(docs: DataFrame, items: DataFrame, width: int = WINDOW, edits: int
                     out[ids[int(np.searchsorted(ends, s, "right"))], " ".join(own)] = keys[k][hit[k]]
                 if out:
                     doc, own = zip(*out)
-                    yield pd.DataFrame({"doc_id": doc, "own": own, "keys": list(out.values())})
+                    yield pd.DataFrame({"doc_id": doc, "width": w, "own": own, "keys": list(out.values())})
 
         for pdf in batches:
             ids: list = []
@@ -258,9 +258,9 @@ def passages(docs: DataFrame, items: DataFrame, width: int = WINDOW, edits: int
                     out.append((x, y, d))
             yield pd.DataFrame(out, columns=["own", "window", "edits"])
 
-    hits = written(spark, rows.mapInPandas(run, "doc_id bigint, own string, keys array<bigint>"), "leak-hits")
+    hits = written(spark, rows.mapInPandas(run, "doc_id bigint, width int, own string, keys array<bigint>"), "leak-hits")
     # windows are compared once, however many documents and items have them
-    ours = hits.groupBy("own").agg(F.first("keys").alias("keys")).select("own", F.explode("keys").alias("key"))
+    ours = hits.groupBy("own", "width").agg(F.first("keys").alias("keys")).select("own", F.explode("keys").alias("key"))
     theirs = windows.groupBy("window").agg(F.first("keys").alias("keys")).select("window", F.explode("keys").alias("key"))
     same = ours.join(theirs, "key").select("own", "window").distinct().mapInPandas(verify, "own string, window string, edits int")
     met = same.join(windows.select("window", "item_id").distinct(), "window").groupBy("own", "item_id").agg(F.min("edits").alias("edits"))

@@ -17,7 +17,7 @@ from .common import text_chunks
 #: Scale of the smoothing over the nodes in document order, and the share of the mean fused ratio from which a path is content.
 SIGMA, THRESHOLD = 1.0, 0.15
 #: Cheap test, on the JVM, of any sign that markup can begin with; texts without one are already clean.
-MAYBE = r"</?[A-Za-z!]|\\[A-Za-z\[(]|`|\*\S|\[\[|\]\(|\{[{|]|~~|__|&#?\w{2,8};|''|(?m)^[ \t]*(?:#{1,6}\s|>\s?\S|==|\|[-} :]|:?--)|\$[^$\n]*\$"
+MAYBE = r"</?[A-Za-z!]|\\[A-Za-z\[(]|`|\*\S|\[\[|\]\(|\{[{|]|~~|__|&#?\w{1,8};|''|(?:^|\n)[ \t]*(?:#{1,6}\s|>\s?\S|==|\|[-} :]|:?--)|\$[^$\n]*\$"
 
 # Commands of LaTeX that stand without an argument in braces.
 BARE = "item|par|noindent|newline|clearpage|newpage|maketitle|tableofcontents|centering|hline|toprule|midrule|bottomrule|leq|geq|times|cdot|alpha|beta|gamma|sum|int|infty|ldots|dots|quad"
@@ -69,8 +69,14 @@ def own_heading(line: str, heading: str | None) -> bool:
     return s.startswith("#") and heading is not None and s.lstrip("#").strip().lower() == heading.strip().lower()
 
 
+#: Tags deeper than this are read, but the text in them stands on the path down to here.
+DEEPEST = 200
+
+
 def parse(text: str, heading: str | None = None) -> tuple[set[str], list[tuple[tuple[str, ...], str]]]:
-    """Kinds of markup in a text, and its nodes (tag path, text) in document order. Separators of blocks are nodes with the path ('br',)."""
+    """Kinds of markup in a text, and its nodes (tag path, text) in document order. Separators of blocks are nodes with the path ('br',).
+
+    A line of `#` signs that names `heading` is the chunk's own and no markup; where no heading is given, that is the first line; an empty one says that the chunk has none."""
     kinds: set[str] = set()
     nodes: list[tuple[tuple[str, ...], str]] = []
     stack: list[str] = []
@@ -99,7 +105,7 @@ def parse(text: str, heading: str | None = None) -> tuple[set[str], list[tuple[t
         s = m.group()
         if kind == "markdown" and tag == "h":
             line = text[m.start() : (text.find("\n", m.start()) + 1 or len(text) + 1) - 1]
-            if m.start() <= first or own_heading(line, heading):
+            if (heading is None and m.start() <= first) or own_heading(line, heading):
                 continue
         put(here(), text[pos : m.start()])
         pos = m.end()
@@ -111,7 +117,7 @@ def parse(text: str, heading: str | None = None) -> tuple[set[str], list[tuple[t
             if s[1] == "/":
                 if name in stack:
                     del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            elif name not in VOID and not s.endswith("/>") and len(stack) < 30:
+            elif name not in VOID and not s.endswith("/>") and len(stack) < DEEPEST:
                 if name in ("p", "li") and name in stack:
                     del stack[len(stack) - 1 - stack[::-1].index(name) :]
                 stack.append(name)
@@ -211,7 +217,7 @@ def cleaned(chunks: DataFrame) -> DataFrame:
     Both columns are read whole. Null and blank columns have no markup; chunks without any give no row (their text is clean
     already); rows delivered again under one id give equal rows.
     """
-    own = text_chunks(chunks).select("id", "text", "content", "body", F.try_element_at("heading_path", F.lit(-1)).alias("heading"))
+    own = text_chunks(chunks).select("id", "text", "content", "body", F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("")).alias("heading"))
     maybe = own.where(F.col("text").rlike(MAYBE) | (F.col("content").rlike(MAYBE) & ~F.col("content").eqNullSafe(F.col("text"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

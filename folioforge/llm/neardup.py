@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, text_chunks, texts_of, written
+from .common import BROADCAST_CLASSES, WORD, slices, text_chunks, texts_of, written
 from .shingles import Signer
 
 #: Words of a shingle, least words of a chunk, least share of common shingles.
 WIDTH, LEAST_WORDS, SIMILARITY = 3, 40, 0.7
 #: Segments of the embedding, BITS bits each and 21 to a long; bands and rows of the cells in which the range-join runs.
 SEGMENTS, BITS, BANDS, ROWS = 63, 3, 20, 5
+#: Rows of a cell that one task joins with the whole cell; of the classes one in so many tells which cells are larger.
+LARGE, SAMPLED = 2000, 8
 #: Members of a class of exact copies that are paired with each other; a larger class is linked through its least id.
 ALL_PAIRS = 24
 
@@ -63,19 +65,38 @@ def manhattan(a: str, b: str) -> str:
     return " + ".join(terms)
 
 
+def _dealt(cells: DataFrame, emb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join within cells, with `part`: large cells are dealt over parts on one side and repeated for each part on the other.
+
+    Which cells are large is told by the texts whose class is divisible by SAMPLED. Every pair meets once whatever that tells; only
+    the size of the tasks depends on it.
+    """
+    some = emb.where(F.pmod("c", F.lit(SAMPLED)) == 0).select(F.explode("cells").alias("cell"))
+    large = some.groupBy("cell").agg(F.ceil(F.count("*") * SAMPLED / F.lit(LARGE)).cast("int").alias("parts")).where("parts > 1")
+    large = written(emb.sparkSession, large, "neardup-large")
+    n = large.count()
+    if not n:
+        return cells.withColumn("part", F.lit(0)), cells.withColumn("part", F.lit(0))
+    rows = cells.join(F.broadcast(large) if n <= BROADCAST_CLASSES else large, "cell", "left")
+    dealt = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")))
+    return dealt.drop("parts"), rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
 def candidates(emb: DataFrame, similarity: float) -> DataFrame:
     """Pairs of classes that share a cell and pass both lower bounds: a, b (a < b).
 
     At similarity t two sets of n and m shingles differ in at most (1 - t) / (1 + t) * (n + m) of them, so pairs whose sizes or
-    embeddings are farther apart than that can't reach it and are dropped inside the join. Both sides are one exchange.
+    embeddings are farther apart than that can't reach it and are dropped inside the join. Both sides are one exchange unless a cell
+    is large.
     """
-    cells = emb.select("c", "n", "v0", "v1", "v2", F.explode("cells").alias("cell"))
+    emb = written(emb.sparkSession, emb, "neardup-embedded")
+    x, y = _dealt(emb.select("c", "n", "v0", "v1", "v2", F.explode("cells").alias("cell")), emb)
     share = (1 - similarity) / (1 + similarity)
     near = F.expr(
-        f"x.cell = y.cell and x.c < y.c and least(x.n, y.n) >= {similarity!r}D * greatest(x.n, y.n) - 1e-9D "
+        f"x.cell = y.cell and x.part = y.part and x.c < y.c and least(x.n, y.n) >= {similarity!r}D * greatest(x.n, y.n) - 1e-9D "
         f"and {manhattan('x', 'y')} <= {share!r}D * (x.n + y.n) + 1e-9D"
     )
-    return cells.alias("x").join(cells.alias("y"), near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    return x.alias("x").join(y.alias("y"), near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
 def _texts(chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ end without a full stop, over all lines of all texts but their last ones, which
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,8 @@ WIDTH, SIMILARITY, BANDS, ROWS, HEAD = 5, 0.8, 6, 3, 24
 CLOSING = 8
 #: Terminality from which a text may end with a word, how many uses the mean rate counts as beside those of the word, and the longest line that needn't be running text.
 TERMINAL, WEIGHT, LINE_CHARS = 0.05, 4.0, 110
+#: Characters at the end of a text in which a full stop with its closing marks, or a sign of omission, stands.
+TAIL = 64
 #: Entries of the table of words that a task holds before it hands them on.
 HELD = 500_000
 
@@ -63,15 +65,20 @@ def word_of(token: str) -> str:
     return _digits.sub("#", token.strip(_EDGE)) or token
 
 
+def _whole(text: str) -> int:
+    """Where a sign of omission at the end of a text begins, or the text's length."""
+    m = _omitted.search(text, max(0, len(text) - TAIL))
+    return m.start() if m else len(text)
+
+
 def ending(text: str) -> tuple[str, str, str, bool]:
     """How a text with anything on it ends: stop, omitted or open; the form of its last line; its closing word; whether that is written like one inside a sentence."""
-    end = text.rstrip()
-    bare = _omitted.sub("", end).rstrip()
-    if len(bare) < len(end):
+    bare = text.rstrip()
+    if _whole(bare) < len(bare):
         return "omitted", "", "", False
-    if _stop.search(bare):
+    if _stop.search(bare, max(0, len(bare) - TAIL)):
         return "stop", "", "", False
-    line = _line.split(bare)[-1].strip()
+    line = bare[max(bare.rfind("\n"), bare.rfind("\r")) + 1 :].strip()
     token = line.split()[-1]
     letters = token.strip(_EDGE)
     return "open", form(line), word_of(token), letters.isalpha() and letters[0].islower()
@@ -79,7 +86,8 @@ def ending(text: str) -> tuple[str, str, str, bool]:
 
 def _end(text: str) -> tuple[str, list[re.Match]]:
     """A text up to its last sign that is no white space or omission, and its last words (more than CLOSING); no words where it can't stop inside a sentence."""
-    end = _omitted.sub("", text.rstrip()).rstrip()
+    end = text.rstrip()
+    end = end[: _whole(end)].rstrip()
     if not end or not (end[-1].isalnum() or end[-1] in ",;:("):
         return end, []
     back = 400
@@ -119,26 +127,36 @@ class Counts:
     """Of each (form, word) over complete lines: how often the word ends such a line without a full stop (open), how often in any way (ends), how often a line or sentence (closing), and how often it is used."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        self.used: dict[str, Counter] = defaultdict(Counter)  # of each form its tokens as they are written
+        self.last: dict[str, Counter] = defaultdict(Counter)  # and those at the ends of its lines
 
     def add(self, text: str) -> None:
         lines = [x for x in map(str.strip, _line.split(text)) if x]
         for line in lines[:-1]:
-            f = form(line)
-            tokens = line.split()
-            for t in tokens:
-                own = self.held[f, word_of(t)]
-                own[3] += 1
-                own[2] += _stop.search(t) is not None
-            own[1] += 1
-            if not _stop.search(line):
-                own[0] += 1
-                own[2] += 1
+            f, tokens = form(line), line.split()
+            self.used[f].update(tokens)
+            self.last[f][tokens[-1]] += 1
+
+    def __len__(self) -> int:
+        return sum(map(len, self.used.values()))
 
     def taken(self) -> list[tuple]:
-        out = [(f, w, *n) for (f, w), n in self.held.items()]
-        self.held.clear()
-        return out
+        held: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for f, tokens in self.used.items():
+            for t, n in tokens.items():
+                own = held[f, word_of(t)]
+                own[3] += n
+                own[2] += n if _stop.search(t) else 0
+        for f, tokens in self.last.items():
+            for t, n in tokens.items():
+                own = held[f, word_of(t)]
+                own[1] += n
+                if not _stop.search(t):  # a line ends with a full stop as its last token does
+                    own[0] += n
+                    own[2] += n
+        self.used.clear()
+        self.last.clear()
+        return [(f, w, *n) for (f, w), n in held.items()]
 
 
 EXAMINED = "doc_id bigint, source string, c bigint, ending string, form string, word string, small boolean, run bigint, last int, bare boolean, cells array<bigint>, open bigint, ends bigint, closing bigint, uses bigint"
@@ -185,9 +203,9 @@ def _examined(docs: DataFrame) -> DataFrame:
                     cells[k] += own  # heads in order, so the last BANDS cells are those of the longest
             kind, form_, word, small = map(list, zip(*ends))
             yield batch(doc_id=b.column(0), source=b.column(1), c=b.column(2), ending=kind, form=form_, word=word, small=small, run=runs, last=last, bare=bare, cells=cells)
-            if len(counts.held) > HELD:
+            if len(counts) > HELD:
                 yield counted(counts)
-        if counts.held:
+        if len(counts):
             yield counted(counts)
 
     return rows.mapInArrow(run, EXAMINED)

@@ -1,3 +1,5 @@
+import re
+
 from folioforge.llm import markup
 
 CASES = {
@@ -47,13 +49,37 @@ def test_prose_is_left_alone():
     assert markup.clean("intro\n\n## My heading\ntext", "My heading")[0] == []
 
 
+def test_own_heading_by_the_heading_path():
+    assert markup.clean("# Own one\ntext", "Own one")[0] == []
+    assert markup.clean("#### Another\ntext", "Own one")[0] == ["markdown"] and markup.clean("#### No own heading\ntext", "")[0] == ["markdown"]
+
+
+def test_the_first_test_lets_every_construct_through():
+    """What the JVM's test stops has no markup by the rules."""
+    import random
+
+    r = random.Random(3)
+    signs = ["<b>", "</i>", "&#9;", "&amp;", "\\", "*", "**x**", "[[a]]", "](b)", "{{c}}", "{|", "|-", "~~d~~", "__e__", "$", "$x^2$", "`f`", "```", "# ", "> ", "== g ==", "''h''", " ", "\n", "word", "|", "---", ":--", "!"]
+    for _ in range(4000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(1, 6)))
+        assert re.search(markup.MAYBE, text) or markup.parse(text, "")[0] == set(), text
+
+
+def test_the_ratios_decide(monkeypatch):
+    """Short runs of tags without text around long paragraphs go; with the threshold at 0 they stay."""
+    text = "<div><span>a</span><span>b</span><span>c</span><span>d</span><span>e</span><span>f</span><span>g</span></div>" + "<p>A long sentence, with commas, that carries the text; and another one of its kind.</p>" * 4
+    kept = markup.clean(text)[1]
+    monkeypatch.setattr(markup, "THRESHOLD", 0.0)
+    assert kept != markup.clean(text)[1] and "abc" not in kept and kept.count("long sentence") == 4
+
+
 def test_tags_without_text_are_dropped():
     nodes = [(("body", "p"), "A long sentence, with commas, that carries the text of the page.")] * 3 + [(("body", "script"), "var x"), (("br",), "\n"), (("body", "div", "span"), "x")]
     assert markup.select(nodes) == [True, True, True, False, True, False]
 
 
 def test_cleaned(spark):
-    rows = [("1", "plain", None, ["h"]), ("2", None, "a **b** c", None), ("3", "x <b>y</b>", "x [[z]]", []), ("3", "x <b>y</b>", "x [[z]]", [])]
+    rows = [("0", "#### Not its own\nx", None, None), ("1", "plain", None, ["h"]), ("2", None, "a **b** c", None), ("3", "x <b>y</b>", "x [[z]]", []), ("3", "x <b>y</b>", "x [[z]]", [])]
     df = spark.createDataFrame(rows, "id string, text string, content string, heading_path array<string>").selectExpr("*", "'a.pdf' source_pdf", "'text' chunk_type")
-    assert {tuple(r) for r in markup.found(df).collect()} == {("2", "markdown"), ("3", "html"), ("3", "wiki")}
-    assert {r["id"]: r["clean"] for r in markup.cleaned(df).collect()} == {"2": "a b c", "3": "x y"}
+    assert {tuple(r) for r in markup.found(df).collect()} == {("0", "markdown"), ("2", "markdown"), ("3", "html"), ("3", "wiki")}
+    assert {r["id"]: r["clean"] for r in markup.cleaned(df).collect()} == {"0": "#### Not its own\nx", "2": "a b c", "3": "x y"}

@@ -97,3 +97,32 @@ def test_components_of_long_chains_with_shuffled_ids(spark):
     r.shuffle(edges)
     got = {x["node"]: x["root"] for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: min(c) for c in chains for x in c}
+
+
+def test_large_cells_are_dealt(spark, monkeypatch):
+    """Variants of one text, a third of all rows, in the same cells: dealt over parts, every pair is met once as without."""
+    r = random.Random(12)
+    base = [r.choice(VOCAB) for _ in range(80)]
+    rows = []
+    for k in range(60):
+        u = list(base)
+        u[r.randrange(len(u))] = f"own{k}"
+        rows.append((f"v{k:02d}", " ".join(u), "text"))
+    rows += [(f"o{k}", " ".join(r.choice(VOCAB) for _ in range(60)), "text") for k in range(120)]
+    df = _frame(spark, rows)
+    want = {tuple(x) for x in neardup.found(df).collect()}
+    assert len(want) == 60 * 59 // 2
+    monkeypatch.setattr(neardup, "LARGE", 7)
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    assert {tuple(x) for x in neardup.found(df).collect()} == want
+
+
+def test_copies_around_the_limit_of_all_pairs(spark):
+    """Up to ALL_PAIRS copies in all pairs, beyond that each linked to the least id; the other text is linked either way."""
+    r = random.Random(13)
+    text = [r.choice(VOCAB) for _ in range(60)]
+    near = " ".join(["other", *text[1:]])
+    for n in (24, 25, 26):
+        got = {tuple(x) for x in neardup.found(_frame(spark, [(f"c{k:02d}", " ".join(text), "text") for k in range(n)] + [("z", near, "text")])).collect()}
+        assert len(got) == (n * (n - 1) // 2 + n if n <= neardup.ALL_PAIRS else n - 1 + 1)
+        assert ("c00", "z") in got
