@@ -36,13 +36,13 @@ def text_chunks(chunks: DataFrame) -> DataFrame:
 BROADCAST_CLASSES = 2_000_000
 
 
-def texts_of(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row of `texts` (c and a text) for each class that stands in `pairs` (a, b), written to the shared folder.
+def texts_of(spark: SparkSession, texts: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("c",)) -> DataFrame:
+    """One row of `texts` (c and a text) for each class that stands in `pairs` (a, b), written to the shared folder; `keys` tell classes whose hashes are equal.
 
     The classes are counted first: up to BROADCAST_CLASSES they are broadcast, so that only wanted texts are shuffled."""
     wanted = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
-    got = texts.join(F.broadcast(wanted) if few else wanted, "c", "left_semi").dropDuplicates(["c"])
+    got = texts.join(F.broadcast(wanted) if few else wanted, "c", "left_semi").dropDuplicates(list(keys))
     return written(spark, got, "wanted-texts")
 
 

@@ -100,15 +100,17 @@ def candidates(emb: DataFrame, similarity: float) -> DataFrame:
 
 
 def _texts(chunks: DataFrame) -> DataFrame:
-    return text_chunks(chunks).select(F.xxhash64("chunk_type", "body").alias("c"), "id", "body")
+    """Class of exact copies (c, and d, a second hash that keeps texts apart whose first is the same), id, body."""
+    return text_chunks(chunks).select(F.xxhash64("chunk_type", "body").alias("c"), F.xxhash64(F.lit(1), "chunk_type", "body").alias("d"), "id", "body")
 
 
 def links(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs of classes of exact copies: a, b (a < b; classes are numbers), similarity."""
+    """Verified pairs of classes of exact copies: a, b (a < b; classes are numbers), ad, bd (their second hashes), similarity."""
     pairs = candidates(embedded(chunks, width, least_words), similarity)
     pairs = written(chunks.sparkSession, pairs, "neardup-candidates")
-    texts = texts_of(chunks.sparkSession, _texts(chunks).select("c", "body"), pairs)
-    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("body").alias("tb")), "b")
+    texts = texts_of(chunks.sparkSession, _texts(chunks).select("c", "d", "body"), pairs, ("c", "d"))
+    of = lambda k: texts.select(F.col("c").alias(k), F.col("d").alias(f"{k}d"), F.col("body").alias(f"t{k}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def shingles(t: str) -> set:
@@ -117,21 +119,21 @@ def links(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS,
 
         for pdf in batches:
             out = []
-            for x, y, tx, ty in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
+            for x, y, xd, yd, tx, ty in zip(pdf["a"], pdf["b"], pdf["ad"], pdf["bd"], pdf["ta"], pdf["tb"]):
                 s, t = shingles(tx), shingles(ty)
                 n = len(s & t)
                 j = n / max(1, len(s) + len(t) - n)
                 if j >= similarity:
-                    out.append((x, y, j))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+                    out.append((x, y, xd, yd, j))
+            yield pd.DataFrame(out, columns=["a", "b", "ad", "bd", "similarity"])
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint, similarity double")
+    return both.select("a", "b", "ad", "bd", "ta", "tb").mapInPandas(run, "a bigint, b bigint, ad bigint, bd bigint, similarity double")
 
 
 def members(chunks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(c, id) of each chunk that takes part: its class of exact copies. Words are counted here as runs of letters and digits."""
+    """(c, d, id) of each chunk that takes part: its class of exact copies. Words are counted here as runs of letters and digits."""
     words = F.size(F.regexp_extract_all(F.col("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return _texts(chunks).where(words >= least_words).select("c", "id").distinct()
+    return _texts(chunks).where(words >= least_words).select("c", "d", "id").distinct()
 
 
 def found(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -142,17 +144,16 @@ def found(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS,
     beyond that each with the least id of the class, so that no group is emitted as a square and no link is lost.
     """
     own = written(chunks.sparkSession, members(chunks, least_words), "neardup-members")
-    ls = links(chunks, width, least_words, similarity).select("a", "b")
-    ls = written(chunks.sparkSession, ls, "neardup-links")
-    heads = own.groupBy("c").agg(F.min("id").alias("head"), F.count("*").alias("size"))
+    ls = written(chunks.sparkSession, links(chunks, width, least_words, similarity), "neardup-links")
+    heads = own.groupBy("c", "d").agg(F.min("id").alias("head"), F.count("*").alias("size"))
     # a class larger than ALL_PAIRS stands in the pairs between classes with its head only; its members are linked to the head
     big = heads.where(F.col("size") > ALL_PAIRS)
-    ends = own.join(big.select("c", "head"), "c", "left").where(F.col("head").isNull() | (F.col("head") == F.col("id"))).select("c", "id")
-    between = ls.join(ends.select(F.col("c").alias("a"), F.col("id").alias("x")), "a").join(ends.select(F.col("c").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    ends = own.join(big.select("c", "d", "head"), ["c", "d"], "left").where(F.col("head").isNull() | (F.col("head") == F.col("id"))).select("c", "d", "id")
+    between = ls.select("a", "ad", "b", "bd").join(ends.toDF("a", "ad", "x"), ["a", "ad"]).join(ends.toDF("b", "bd", "y"), ["b", "bd"]).select("x", "y")
     copies = heads.where(F.col("size") > 1)
-    small = own.join(copies.where(F.col("size") <= ALL_PAIRS).select("c"), "c")
-    within = small.select("c", F.col("id").alias("x")).join(small.select("c", F.col("id").alias("y")), "c").where(F.col("x") < F.col("y")).select("x", "y")
-    star = own.join(big.select("c", "head"), "c").where(F.col("id") != F.col("head")).select(F.col("head").alias("x"), F.col("id").alias("y"))
+    small = own.join(copies.where(F.col("size") <= ALL_PAIRS).select("c", "d"), ["c", "d"])
+    within = small.toDF("c", "d", "x").join(small.toDF("c", "d", "y"), ["c", "d"]).where(F.col("x") < F.col("y")).select("x", "y")
+    star = own.join(big.select("c", "d", "head"), ["c", "d"]).where(F.col("id") != F.col("head")).select(F.col("head").alias("x"), F.col("id").alias("y"))
     every = between.unionByName(within).unionByName(star)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
@@ -187,8 +188,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(chunks: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each chunk that has a near copy: id, group_id (the least id of its group), links (classes it is linked to), copies (exact copies)."""
-    ls = written(chunks.sparkSession, links(chunks, width, least_words, similarity).select("a", "b"), "neardup-links")
-    own = written(chunks.sparkSession, members(chunks, least_words), "neardup-members")
+    name = lambda c, d: F.concat_ws("-", F.hex(c), F.hex(d))
+    ls = written(chunks.sparkSession, links(chunks, width, least_words, similarity).select(name("a", "ad").alias("a"), name("b", "bd").alias("b")), "neardup-links")
+    own = written(chunks.sparkSession, members(chunks, least_words).select(name("c", "d").alias("c"), "id"), "neardup-members")
     degree = ls.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").cast("int").alias("links"))
     sizes = own.groupBy("c").agg((F.count("*") - 1).cast("int").alias("copies"))
     comp = components(ls).withColumnRenamed("node", "c")
