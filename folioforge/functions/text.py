@@ -6,13 +6,25 @@ return and blank (`WS`); `unicode=True` takes every Unicode white space instead.
 
 from __future__ import annotations
 
+import html
+import html.entities
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\t\n\x0B\f\r ]"
 UWS = r"[\s\x1C-\x1F]"
-# The entities decoded on the JVM; `functions.parsers.unescape` knows all others.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&#160;": " ", "&amp;": "&"}
+_NUMERIC = r"#[0-9]{1,8};?|#[xX][0-9A-Fa-f]{1,6};?"
+
+
+@lru_cache(None)
+def entity_table() -> tuple[str, str]:
+    """All named entities of HTML 5, and numbers that don't mean their code point, as JSON (`&name;` to text); and the pattern of an entity, which may lack the semicolon where HTML lets it."""
+    names = {f"&{k}": v for k, v in html.entities.html5.items()} | {f"&#{n}": html.unescape(f"&#{n};") for n in (0, *range(128, 160))}
+    bare = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return json.dumps(names), f"&(?:{_NUMERIC}|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{'|'.join(bare)}))"
 
 
 def col(c: Column | str) -> Column:
@@ -24,17 +36,34 @@ def collapse(c: Column | str, unicode: bool = False) -> Column:
     return F.trim(F.regexp_replace(col(c), f"(?U){UWS}+" if unicode else f"{WS}+", " "))
 
 
-def unescape_common(c: Column | str) -> Column:
-    """The common entities decoded, the ampersand last."""
+def unescape(c: Column | str) -> Column:
+    """All entities of HTML 5 decoded, by name or number, on the JVM; unknown names stay. A no-break space becomes a blank.
+
+    Only texts with an ampersand are looked at; each different entity of a text is replaced once, `&amp;` last.
+    """
     c = col(c)
-    for k, v in ENTITIES.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+    table, pattern = entity_table()
+    known = F.from_json(F.lit(table), "map<string,string>")  # one constant of the plan
+
+    def one(e: Column) -> Column:
+        bare = F.rtrim(e, F.lit(";"))
+        hexed = bare.rlike("^&#[xX]")
+        number = F.when(hexed, F.conv(F.substring(bare, 4, 8), 16, 10)).when(bare.rlike("^&#[0-9]"), F.substring(bare, 3, 8)).try_cast("int")
+        fine = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(number.isNotNull(), F.lit("\ufffd"))
+        named = F.try_element_at(known, F.when(number.isNotNull(), F.concat(F.lit("&#"), number.cast("string"))).otherwise(e))
+        return F.coalesce(named, char, e)
+
+    # longer ones first, where one begins another
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))), asc=False)
+    # an ampersand that comes out is held back by a sign of no text, so that nothing is decoded twice
+    held = F.aggregate(found, c, lambda acc, e: F.replace(acc, e, F.replace(one(e), F.lit("&"), F.lit("\ufdd0"))))
+    return F.when(~c.contains("&"), c).otherwise(F.replace(F.replace(held, F.lit("\ufdd0"), F.lit("&")), F.lit("\xa0"), F.lit(" ")))
 
 
 def normalize_space(c: Column | str, unicode: bool = False) -> Column:
     """Entities decoded, white space collapsed; null gives an empty string."""
-    return collapse(unescape_common(F.coalesce(col(c), F.lit(""))), unicode)
+    return collapse(unescape(F.coalesce(col(c), F.lit(""))), unicode)
 
 
 def clean_pdf_text(c: Column | str, unicode: bool = False) -> Column:

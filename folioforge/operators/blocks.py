@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.parsers import flatten_json, flatten_list
+from ..functions.parsers import nested_block
 from ..functions.text import WS, col, first_nonblank, normalize_space, strip
 from ..schema import BLOCK, conform
 
@@ -55,8 +55,22 @@ def block_text(kind: Column, text: Column, items: Column, code: Column) -> Colum
     )
 
 
+# Columns that hold a table's body, in order of preference, and those that hold captions and footnotes besides a block's own kind.
+BODIES = ("table_body", "table_html", "html", "content", "text", "chart_content")
+CAPTIONS, FOOTNOTES = ("caption", "chart_caption", "image_caption"), ("footnote", "chart_footnote", "image_footnote")
+
+
 def table_body(b: DataFrame) -> Column:
-    return first_nonblank(*[c for c in ("table_body", "table_html", "text") if c in b.columns])
+    return first_nonblank(*[c for c in BODIES if c in b.columns])
+
+
+def captions(kind: str) -> Column:
+    """Captions of a table or image block from all columns that may hold one, its own first, each column once."""
+    return gather(*dict.fromkeys((f"{kind}_caption", *CAPTIONS)))
+
+
+def footnotes(kind: str) -> Column:
+    return gather(*dict.fromkeys((f"{kind}_footnote", *FOOTNOTES)))
 
 
 def from_markdown(docs: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
@@ -94,45 +108,16 @@ def is_v2(json_text: Column | str) -> Column:
 def from_v2(pages: DataFrame, key: str = "doc_key", text: str = "json") -> DataFrame:
     """Blocks of nested content lists (one JSON text a document: pages of blocks with a `content` of any shape), in the flat form.
 
-    Malformed texts give no block. Contents are read as JSON strings; only those are sent to Python, to be flattened.
+    Malformed texts give no block; pages that are no list and items that are no object are left out by themselves. An item's content
+    is read once, in Python, for all fields of its type.
     """
-    nested = F.from_json(text, "array<array<struct<type: string, bbox: array<double>, content: string>>>")
-    rows = pages.select(F.col(key).alias("doc_key"), F.posexplode(nested).alias("page_idx", "page")).select("doc_key", "page_idx", F.posexplode("page").alias("k", "b"))
-    c = F.col("b.content")
-    get = lambda *ks: F.coalesce(*[F.when(~F.get_json_object(c, f"$.{k}").isin("", "[]"), F.get_json_object(c, f"$.{k}")) for k in ks])
-    t = F.col("b.type")
-    raw = (
-        F.when(t == "title", get("title_content"))
-        .when(t == "paragraph", get("paragraph_content"))
-        .when(t == "equation_interline", get("math_content", "content"))
-        .when(~t.isin("list", "index", "table", "chart", "image", "seal", "code", "algorithm"), c)
-    )
-    body = F.when(t.isin("table", "chart"), get("html", "table_body", "table_content", "content", "chart_content"))
-    image = F.when(t.isin("table", "chart"), get("img_path", "image_path", "table_img_path", "chart_img_path", "image_source")).when(
-        t.isin("image", "seal"), get("img_path", "image_path", "path", "image_source")
-    )
-    is_table, is_image = t.isin("table", "chart"), t.isin("image", "seal")
-    rows = rows.select(
-        "doc_key",
-        "page_idx",
-        "k",
-        legacy_type(t).alias("block_type"),
-        F.col("b.bbox").alias("bbox"),
-        flatten_json(raw).alias("text"),
-        F.when(t == "title", F.coalesce(get("level").try_cast("int"), F.lit(1))).alias("text_level"),
-        flatten_list(F.when(t.isin("list", "index"), get("list_items", "index_items"))).alias("list_items"),
-        flatten_json(body).alias("table_body"),
-        F.when(is_table, get("html")).alias("table_html"),
-        flatten_json(F.when(is_table, get("table_type"))).alias("table_type"),
-        flatten_json(image).alias("img_path"),
-        flatten_list(F.when(is_table, get("table_caption", "caption", "chart_caption"))).alias("table_caption"),
-        flatten_list(F.when(is_table, get("table_footnote", "footnote", "chart_footnote"))).alias("table_footnote"),
-        flatten_list(F.when(is_image, get("image_caption", "caption"))).alias("image_caption"),
-        flatten_list(F.when(is_image, get("image_footnote", "footnote"))).alias("image_footnote"),
-        flatten_json(F.when(t.isin("code", "algorithm"), get("code_content", "algorithm_content", "content"))).alias("code_body"),
-    )
+    rows = pages.select(F.col(key).alias("doc_key"), F.posexplode(F.from_json(text, "array<string>")).alias("page_idx", "page")).where(F.col("page").rlike(r"^\s*\["))
+    rows = rows.select("doc_key", "page_idx", F.posexplode(F.from_json("page", "array<string>")).alias("k", "item")).where(F.col("item").rlike(r"^\s*\{"))
+    rows = rows.withColumn("b", F.from_json("item", "struct<type: string, bbox: array<double>, content: string>"))
+    kind = F.coalesce("b.type", F.lit(""))
+    rows = rows.select("doc_key", "page_idx", "k", legacy_type(kind).alias("block_type"), F.col("b.bbox").alias("bbox"), nested_block(kind, F.col("b.content")).alias("f"))
     w = Window.partitionBy("doc_key").orderBy("page_idx", "k")
-    return conform(rows.withColumn("ord", F.row_number().over(w) - 1), BLOCK)
+    return conform(rows.select("doc_key", "page_idx", "k", "block_type", "bbox", "f.*").withColumn("ord", F.row_number().over(w) - 1), BLOCK)
 
 
 def normalized(blocks: DataFrame) -> DataFrame:

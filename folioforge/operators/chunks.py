@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_pdf_text, col, strip, strip_html
 from ..types import struct
 from . import tables
-from .blocks import gather, normalized, table_body
+from .blocks import captions, footnotes, normalized, table_body
 from .headings import heading_level, heading_paths
 from .prefix import running, spans_blocks
 
@@ -51,7 +51,7 @@ def _segments(b: DataFrame) -> DataFrame:
     page = F.when(text & F.col("page").isNotNull(), F.col("ord"))
     first = F.struct(
         F.col("ord"), F.col("block_type").alias("kind"), F.col("page"), F.col("bbox"), F.col("table_type"), F.col("table_no"), table_body(b).alias("body"), strip(F.coalesce("img_path", F.lit(""))).alias("image"),
-        gather("table_caption", "image_caption").alias("caption"), gather("table_footnote", "image_footnote").alias("footnote"), gather("image_caption").alias("image_caption_text"), gather("image_footnote").alias("image_footnote_text"),
+        captions("table").alias("caption"), footnotes("table").alias("footnote"), captions("image").alias("image_caption_text"), footnotes("image").alias("image_footnote_text"),
     )
     return rows.groupBy("doc_key", "seg").agg(
         F.array_sort(F.collect_list(F.when(text & ~head, F.struct("ord", "body_text")))).alias("texts"),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from ..functions.parsers import elements
+from ..functions.parsers import ELEMENT, page_elements
+from ..types import data_type
 from .prefix import running
 
 #: Least characters of a block; highest share of linked text of a list entry and of other blocks.
@@ -14,9 +19,25 @@ LEAST_CHARS, LI_DENSITY, DENSITY = 5, 0.85, 0.50
 
 
 def page_blocks(pages: DataFrame, key: str = "doc_key", html: str = "html", frame: str | None = None) -> DataFrame:
-    """Elements of each page's container: doc_key, frame, ord, tag, text, text_len, link_len, in_table, in_li, pruned, styling, table_rows."""
-    rows = pages.select(F.col(key).alias("doc_key"), (F.col(frame) if frame else F.lit(0)).cast("int").alias("frame"), F.explode(elements(html)).alias("e"))
-    return rows.select("doc_key", "frame", "e.*")
+    """Elements of each page's container: doc_key, frame, ord, tag, text, text_len, link_len, in_table, in_li, pruned, styling, table_rows.
+
+    Pages stream through Python in Arrow batches, each parsed once. A page that the parser can't read gives no element."""
+    rows = pages.select(F.col(key).alias("doc_key"), (F.col(frame) if frame else F.lit(0)).cast("int").alias("frame"), F.col(html).alias("html"))
+    kind = dict(rows.dtypes)["doc_key"]
+    kinds = to_arrow_schema(data_type(f"struct<doc_key: {kind}, frame: int, {ELEMENT}>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(len(b)):
+                try:
+                    got = page_elements(b.column(2)[at].as_py())
+                except (ValueError, AssertionError, RecursionError):
+                    continue
+                if got:
+                    own = {"doc_key": b.column(0)[at].as_py(), "frame": b.column(1)[at].as_py()}
+                    yield pa.RecordBatch.from_pylist([own | {k: list(v.items()) if isinstance(v, dict) else v for k, v in e.items()} for e in got], kinds)
+
+    return rows.mapInArrow(run, f"doc_key {kind}, frame int, {ELEMENT}")
 
 
 def main_blocks(found: DataFrame) -> DataFrame:

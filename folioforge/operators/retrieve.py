@@ -7,14 +7,20 @@ that results don't depend on the order of addition or of rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.text import WS, col, snippet
 from ..storage import written
+from ..types import data_type
 from .index import B, K1, Lexical, bucket
 
 #: Candidates of each list, results after re-ranking, weight of the vector list, constant of the fusion, decimal places of scores.
@@ -81,21 +87,61 @@ def l2(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
 
 
+class Nearest:
+    """The k nearest of the vectors seen so far to each of some query vectors. Distances are cut by a matrix product and measured by differences."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.squares = (queries * queries).sum(1)
+        self.best: list[list[tuple[float, object]]] = [[] for _ in queries]
+
+    def add(self, keys: list, rows: np.ndarray) -> None:
+        near = (rows * rows).sum(1)[:, None] - 2 * rows @ self.q.T + self.squares
+        k = min(self.k, len(rows))
+        limit = np.partition(near, k - 1, 0)[k - 1]
+        for j, q in enumerate(self.q):
+            # what the product rounds away is far below the slack
+            at = np.flatnonzero(near[:, j] <= limit[j] + 1e-5 * (1 + abs(limit[j])))
+            exact = np.round(np.sqrt(((rows[at] - q) ** 2).sum(1)), PLACES)
+            self.best[j] = sorted([*self.best[j], *zip(exact.tolist(), (keys[i] for i in at))])[: self.k]
+
+
 def vectors(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 1000) -> DataFrame:
     """query_id, key, score (distance), rank: the k nearest vectors of each query, exactly.
 
-    index: key, embedding. queries: query_id, embedding. The queries go in blocks of at most `block` to every part of the index,
-    which is read once a block and never shuffled; each task keeps its k nearest.
+    index: key, embedding. queries: query_id, embedding. The queries go in blocks of at most `block` vectors, of which the driver
+    holds one at a time, to every part of the index; a task keeps its k nearest of each query, and only these are sorted and merged.
+    Null vectors take no part; of equal distances the smaller key comes first.
     """
-    ids = [r[0] for r in queries.select("query_id").where("query_id is not null").distinct().orderBy("query_id").collect()]
-    out = None
-    for a in range(0, max(1, len(ids)), block):
-        few = queries.where(F.col("query_id").isin(ids[a : a + block])).select("query_id", F.col("embedding").alias("q"))
-        # at most `block` query vectors: a bounded broadcast against all rows
-        near = index.where("embedding is not null").crossJoin(F.broadcast(few)).select("query_id", "key", F.round(l2("embedding", "q"), PLACES).alias("score"))
-        got = top_k(near, k, descending=False)
-        out = got if out is None else out.unionByName(got)
-    return out
+    spark = index.sparkSession
+    kind, key = dict(queries.dtypes)["query_id"], dict(index.dtypes)["key"]
+    schema = f"query_id {kind}, key {key}, score double"
+    names = to_arrow_schema(data_type(f"struct<query_id: {kind}, key: {key}, score: double>"))
+    rows = index.where("embedding is not null and key is not null").select("key", "embedding")
+
+    def near(ids: list, vs: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, np.array(vs, np.float64)))  # at most `block` vectors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = Nearest(sent.value[1], k)
+            for b in batches:
+                if len(b):
+                    got.add(b.column(0).to_pylist(), np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(b), -1))
+            out = [(i, key, s) for i, best in zip(sent.value[0], got.best) for s, key in best]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), names)], schema=names)
+
+        return rows.mapInArrow(run, schema)
+
+    asked = queries.where("query_id is not null and embedding is not null").dropDuplicates(["query_id"]).orderBy("query_id").toLocalIterator()
+    parts: list[DataFrame] = []
+    held: list[Row] = list(islice(asked, block))
+    while held or not parts:
+        more = list(islice(asked, block))
+        got = near([r["query_id"] for r in held], [r["embedding"] for r in held]) if held else rows.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "key", F.lit(0.0).alias("score"))
+        parts.append(written(spark, got, "vectors-near") if more or parts else got)
+        held = more
+    return top_k(reduce(DataFrame.unionByName, parts), k, descending=False)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int = CANDIDATES, alpha: float = ALPHA, count_repeats: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import blocks, chat, chunks, citations, context, headings, html, index, retrieve, tables
-from ..sources import files, sinks
+from ..sources import files, outputs, sinks
+from .engine import Engine, post_process
+from ..storage import keep, kept, shared_dir
 
 #: Items of the benchmark and vectors whose number is divisible by this are the queries of the searches.
 EVERY = 50
@@ -111,19 +114,20 @@ def block_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where("id is not null and chunk_type = 'chapter_text' and text is not null").select(F.col("id").alias("doc_key"), "text").distinct()
-    return blocks.from_markdown(c)
+    c = table(spark, d, "chunks").where("id is not null and chunk_type = 'chapter_text'").select(F.col("id").alias("doc_key"), F.when(F.col("text").rlike(r"\S"), F.col("text")).otherwise(F.col("content")).alias("text"))
+    return blocks.from_markdown(c.where("text is not null").distinct())
 
 
 def nested_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Each text block and list written in the nested form, and read back."""
+    """Each text block and list of the table written in the nested form, and read back; `block_cases` has the other kinds, which the table's columns don't hold in that form."""
     b = _blocks(spark, d).where("block_type in ('text', 'list')").withColumn("k", F.concat_ws("#", "doc_key", F.col("ord").cast("string")))
     title = F.to_json(F.struct(F.lit("title").alias("type"), F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("title_content"), F.col("text_level").alias("level")).alias("content")))
     para = F.to_json(F.struct(F.lit("paragraph").alias("type"), F.struct(F.col("text").alias("paragraph_content")).alias("content")))
     items = F.to_json(F.struct(F.lit("list").alias("type"), F.struct("list_items").alias("content")))
     one = F.when(F.col("block_type") == "list", items).when(F.col("text_level").isNotNull(), title).otherwise(para)
     got = blocks.from_v2(b.select(F.col("k").alias("doc_key"), F.concat(F.lit("[["), one, F.lit("]]")).alias("json")))
-    return got.select("doc_key", "block_type", "page_idx", "text", "text_level", F.array_join("list_items", "|").alias("items"))
+    none = F.array().cast("array<string>")
+    return got.select("doc_key", "block_type", "page_idx", F.coalesce("text", F.lit("")).alias("text"), "text_level", F.array_join(F.coalesce("list_items", none), "|").alias("items"))
 
 
 def looks_like_heading(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +221,105 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.as_json_lines(chunks.from_blocks(_blocks(spark, d))).select("id", "value")
+    """Chunks as JSON lines, and members read back from the lines."""
+    got = sinks.as_json_lines(chunks.from_blocks(_blocks(spark, d)))
+    get = lambda p, kind="string": F.get_json_object("value", f"$.{p}").cast(kind)
+    refs = F.array_join(F.from_json(get("metadata.refs"), "array<struct<ref_type: string>>")["ref_type"], ",")
+    return got.select(get("id").alias("id"), "doc_key", get("text").alias("text"), get("metadata.chunk_type").alias("chunk_type"), get("metadata.page_start", "int").alias("page_start"), get("metadata.table_number", "int").alias("table_number"), refs.alias("refs"))
+
+
+# --- constructed inputs
+
+
+def _filled(template: str, name: str) -> F.Column:
+    """A template with the name of a row in place of `#`."""
+    return F.replace(F.lit(template), F.lit("#"), F.col(name))
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sources")
+    return s.select("source", T.normalize_space(F.concat("source", F.lit(" &eacute; &hellip;&nbsp;&#8217; &#x2014; &copy &amp;lt; R&D &unknown; &frac12;"))).alias("decoded"))
+
+
+def html_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with pruned parts, links, repeats, unclosed tags and a table."""
+    page = (
+        "<body><div>a longer text outside of the main part that is not looked at, with many more words than it</div><header>Site header</header><article role=article><h2>Title of #</h2><p>Title of #<p>Second\n part &amp; more of #"
+        "<nav class='related-links'><p>Kept nav of #</p></nav><nav><p>Dropped nav of #</p></nav><aside><p>Aside of #</p></aside><ul><li><p>An entry of #</p> with words<li><a>only a link</a></ul>"
+        "<p><a>0123456789\n\n\n0123456789</a></p><p><a>0123456\n\n\n\n789</a> 0123456789 ab cd</p><p>abcd<table><tr><td>#<th>head<tr><td>cell<td> <tr><td> </table><div class='table-of-contents'><p>Contents of #</p></div><footer>Foot of #</footer></article></body>"
+    )
+    got = html.chunks(table(spark, d, "sources").select(F.col("source").alias("doc_key"), _filled(page, "source").alias("html")))
+    return got.select("id", "html_tag", "chunk_type", "text", F.array_join(F.transform("table_rows", lambda r: F.array_join(r, ",")), ";").alias("table_rows"))
+
+
+def span_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables with cells over columns and rows, line breaks and empty rows under a span."""
+    body = "<table><tr><th colspan='2'>key</th><th rowspan=2>n</th></tr><tr><td rowspan=3>#</td><td>b<br>c</td></tr><tr></tr><tr><td></td></tr></table>"
+    g = table(spark, d, "nation").select("n_nationkey", tables.rows_of(_filled(body, "n_name")).alias("g"))
+    return g.select("n_nationkey", tables.to_markdown("g").alias("markdown"), F.size("g").alias("n_rows"))
+
+
+def block_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Nested content lists with blocks of every kind, contents of every shape, and stray pages and items."""
+    js = (
+        '[[{"type":"title","content":{"title_content":[{"content":"Head of #"}],"level":2}},"stray",{"type":"paragraph","content":{"paragraph_content":["One",{"type":"x","text":"two"}]}},'
+        '{"type":"list","content":{"list_items":["a  b",{"content":"c"},""]}}],{"x":1},[{"type":"table","content":{"html":"<table></table>","image_source":{"path":"t.png"},"table_caption":["cap 1","cap 2"]}},7,'
+        '{"type":"image","content":{"img_path":"i.png","caption":"Figure"}},{"type":"equation_interline","content":{"math_content":"x = 1"}},{"type":"algorithm","content":{"algorithm_content":"run it"}},'
+        '{"type":"seal","content":{"path":"s.png"}},{"type":"other","content":{"k":["free",{"text":"text"}],"level":3}}]]'
+    )
+    got = blocks.from_v2(table(spark, d, "nation").select(F.col("n_name").alias("doc_key"), _filled(js, "n_name").alias("json")))
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "|")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return got.select(
+        "doc_key", "ord", "block_type", "page_idx", text("text").alias("text"), "text_level", joined("list_items").alias("items"), text("table_body").alias("body"), text("img_path").alias("img"),
+        joined(F.coalesce("table_caption", "image_caption")).alias("cap"), text("code_body").alias("code"),
+    )
+
+
+def caption_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Flat content lists whose table has its body, captions and footnotes under older keys."""
+    js = '[{"type":"table","page_idx":0,"content":"#","table_caption":["A #"],"caption":"B","chart_caption":["C"],"footnote":["F"],"chart_footnote":["G"]}, null, "stray"]'
+    got = chunks.from_blocks(outputs.from_flat(table(spark, d, "nation").select(F.col("n_name").alias("doc_key"), _filled(js, "n_name").alias("json"))))
+    return got.select("doc_key", "text")
+
+
+def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines, blank and broken lines among them, and read back by the scan."""
+    c = table(spark, d, "chunks").where("id is not null").select("id", "text", "content", "chunk_type").distinct()
+    line = F.to_json(F.struct("id", "text", "content", F.struct("chunk_type").alias("metadata")))
+    lines = c.select(F.explode(F.array(line, F.lit(" "), F.concat(F.lit('{"id": "broken'), "id"))).alias("value"))
+    path = keep(spark, f"{shared_dir(spark).rstrip('/')}/jsonl-{uuid.uuid4().hex}")
+    lines.write.text(path)
+    return files.scan_chunks(spark, [path], "corpus").select("id", "text", "metadata.chunk_type", "index_name").distinct()
+
+
+def page_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as texts with form feeds between their pages; pages 2 to 4 of each."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("stem"), F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("value"))
+    return chunks.page_range(outputs.page_texts(docs), 1, 4).select("stem", "page_idx", T.clean_pdf_text("text").alias("text"))
+
+
+def message_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Messages whose content is a list of strings and objects."""
+    c = table(spark, d, "conversations").where("text is not null")
+    parts = F.concat(F.lit("["), F.concat_ws(",", F.to_json(F.struct(F.col("text").alias("text"))), F.to_json(F.struct(F.col("text").alias("content"))), F.lit('{"other": 1}'), F.lit('""'), F.lit('"end"')), F.lit("]"))
+    return c.select("conv_id", "turn", chat.content_text(parts).alias("text"))
+
+
+def answer_chips(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with their block of sources, split again, renumbered and grouped."""
+    a, ctx = _answers(spark, d)
+    block = citations.sources_block(citations.entries(a, ctx))
+    got = post_process(a.join(block, "answer_id").select("answer_id", F.concat("answer", "block").alias("content")))
+    return got.select("answer_id", "content", F.size("sources").alias("sources"))
+
+
+def question_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The question loop over all queries at once, with the default judge."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.coalesce("path", "source").alias("label"), "text")
+    engine = Engine(spark, _index(spark, d), docs)
+    q = _queries(spark, d).select(F.col("query_id").cast("int").alias("query_id"), F.col("text").alias("query"))
+    return engine.gather_batch(q).select("query_id", "included", "used_chars", F.size("passages").alias("passages"))
 
 
 # --- index and retrieval
@@ -228,8 +330,17 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), "text")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def _index(spark: SparkSession, d: str) -> index.Lexical:
-    return index.lexical(table(spark, d, "documents"))
+    """The index of the documents: built and stored once a session, then read from its folders."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes or not kept(spark, _indexes[at]):
+        path = keep(spark, f"{shared_dir(spark).rstrip('/')}/lexical-{uuid.uuid4().hex}")
+        index.lexical(table(spark, d, "documents")).write(path)
+        _indexes[at] = path
+    return index.Lexical.read(spark, _indexes[at])
 
 
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +429,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return context.pack(_ranked(spark, d), 5000)
+    return context.pack(_ranked(spark, d))
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -367,7 +478,8 @@ NAMES = (
     "redelivered block_texts nested_blocks markdown_blocks looks_like_heading heading_path block_chunks chapter_chunks image_chunks table_grids table_files markdown_table_rows "
     "chunk_sliding_window page_windows chunk_references html_chunks manifest manifest_check run_summary json_lines term_statistics bm25_topk vector_topk "
     "hybrid_retrieve rrf_fusion rerank_overlap rerank_permutation union_distinct_iterations document_identity source_label style_note context_pack cite_extract "
-    "cite_sources cite_renumber cite_rewrite last_user_message validate_question assistant_last"
+    "cite_sources cite_renumber cite_rewrite last_user_message validate_question assistant_last entities html_cases span_tables block_cases caption_keys "
+    "scan_jsonl page_reader message_texts answer_chips question_loop"
 ).split()
 
 

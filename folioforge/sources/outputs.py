@@ -30,11 +30,15 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def from_flat(lists: DataFrame, key: str = "doc_key", text: str = "json") -> DataFrame:
-    """Blocks of flat content lists (one JSON text a document). Malformed texts give none; unknown members are left out."""
+    """Blocks of flat content lists (one JSON text a document). Malformed texts give none; members that are no object are left out, as are unknown fields; a single caption counts as a list of one."""
     fields = [f for f in BLOCK if f.name not in ("doc_key", "ord", "block_type")]
-    schema = "array<struct<type: string, " + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in fields) + ">>"
-    rows = lists.select(F.col(key).alias("doc_key"), F.posexplode(F.from_json(text, schema)).alias("ord", "b"))
-    return conform(rows.select("doc_key", "ord", F.col("b.type").alias("block_type"), *[F.col(f"b.{f.name}").alias(f.name) for f in fields]), BLOCK)
+    is_list = {f.name for f in fields if f.dataType.simpleString() == "array<string>"}
+    schema = "struct<type: string, " + ", ".join(f"{f.name}: {'string' if f.name in is_list else f.dataType.simpleString()}" for f in fields) + ">"
+    rows = lists.select(F.col(key).alias("doc_key"), F.posexplode(F.from_json(text, "array<string>")).alias("ord", "item")).where(F.col("item").rlike(r"^\s*\{"))
+    rows = rows.select("doc_key", "ord", F.from_json("item", schema).alias("b"))
+    many = lambda c: F.when(c.rlike(r"^\s*\["), F.from_json(c, "array<string>")).when(c.isNotNull(), F.array(c))
+    value = lambda n: many(F.col(f"b.{n}")) if n in is_list else F.col(f"b.{n}")
+    return conform(rows.select("doc_key", "ord", F.col("b.type").alias("block_type"), *[value(f.name).alias(f.name) for f in fields]), BLOCK)
 
 
 def load_blocks(outputs: DataFrame) -> DataFrame:
@@ -47,6 +51,11 @@ def load_blocks(outputs: DataFrame) -> DataFrame:
     return blocks.from_v2(of("nested")).unionByName(from_flat(of("flat"))).unionByName(conform(md, BLOCK))
 
 
+def page_texts(texts: DataFrame, stem: str = "stem", value: str = "value") -> DataFrame:
+    """Pages of the texts that a PDF reader gives, a form feed between pages: stem, page_idx (from 0), text. Files come from `read_texts`."""
+    return texts.where(F.col(value).isNotNull()).select(F.col(stem).alias("stem"), F.posexplode(F.split(value, "\f", -1)).alias("page_idx", "text"))
+
+
 def parse_range(s: str | None) -> tuple[int | None, int | None]:
     """A zero-based page range `a:b`, `a-b` or `a,b`; either side may be missing; blank: all pages."""
     if not s or not s.strip():

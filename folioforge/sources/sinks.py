@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -18,14 +19,60 @@ def as_json_lines(chunks: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str, jsonl: bool = False) -> None:
-    """Chunks as Parquet, or as JSON lines, in order of id within each document's files. A large document may fill several files."""
+    """All chunks as Parquet, or as files of JSON lines, in order of document and id. A document's lines stand together; a large one may fill several files."""
     ranged = chunks.repartitionByRange("doc_key", "id").sortWithinPartitions("doc_key", "id")
     if jsonl:
-        as_json_lines(ranged).drop("id").write.mode("overwrite").partitionBy("doc_key").text(path)
+        as_json_lines(ranged).select("value").write.mode("overwrite").text(path)
     else:
         ranged.write.mode("overwrite").parquet(path)
 
 
+def write_documents(lines: DataFrame, base: str) -> DataFrame:
+    """One JSON-lines file a document, `base/<doc_key>.jsonl`, written as a stream by the task that has the document: path, lines. lines: doc_key, id, value."""
+    target = _target(lines.sparkSession, base)
+
+    def run(batches):
+        at = out = None
+        n = 0
+        for pdf in batches:
+            done = []
+            for k, v in zip(pdf["doc_key"], pdf["value"]):
+                if k != at:
+                    if out:
+                        out.close()
+                        done.append((f"{target}/{at}.jsonl", n))
+                    at, n, out = k, 0, _opened(f"{target}/{k}.jsonl")
+                out.write(v.encode() + b"\n")
+                n += 1
+            yield pd.DataFrame(done, columns=["path", "lines"])
+        if out:
+            out.close()
+            yield pd.DataFrame([(f"{target}/{at}.jsonl", n)], columns=["path", "lines"])
+
+    rows = lines.where("doc_key is not null").select("doc_key", "id", "value").repartition("doc_key").sortWithinPartitions("doc_key", "id")
+    return rows.mapInPandas(run, "path string, lines bigint")
+
+
+def _target(spark: SparkSession, path: str) -> str:
+    """A path with its file system: the cluster's default where it names none."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS")
+    if default.startswith("file:"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{path!r} names no file system that all executors share")
+        return f"file://{path}"
+    return default.rstrip("/") + path
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(at)
+
+
 def manifest(chunks: DataFrame, doc: str = "doc_key") -> DataFrame:
     """One row a document: chunk_count, table_count (distinct tables), image_count. Repeated rows of one id count once; null ids are no chunks."""
     per = chunks.where(F.col("id").isNotNull()).groupBy(doc, "id").agg(F.max("chunk_type").alias("t"), F.max("table_number").alias("n"))
@@ -36,6 +83,24 @@ def manifest(chunks: DataFrame, doc: str = "doc_key") -> DataFrame:
     )
 
 
+def manifest_document(manifests: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """A manifest as JSON, one row: `value`, an object with the settings and the documents in order. For manifests of one run; the table itself is the form for large ones."""
+    docs = manifests.agg(F.array_sort(F.collect_list(F.struct(*manifests.columns))).alias("documents"))
+    return docs.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in (settings or {}).items()], "documents")).alias("value"))
+
+
+def manifest_list(manifests: DataFrame) -> DataFrame:
+    """A manifest as a bare JSON list, one row: `value`."""
+    return manifests.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*manifests.columns)))).alias("value"))
+
+
+def with_paths(manifests: DataFrame, base: str, doc: str = "doc_key", html_dialect: bool = False) -> DataFrame:
+    """Manifest rows with where a document's outputs are: chunks_path, and in the PDF dialect markdown_path, images_dir and tables_dir."""
+    at = lambda folder, end="": F.concat(F.lit(f"{base.rstrip('/')}/{folder}/"), F.col(doc), F.lit(end))
+    out = manifests.withColumn("chunks_path", at("chunks", ".jsonl"))
+    return out if html_dialect else out.withColumns({"markdown_path": at("markdown", ".md"), "images_dir": at("images"), "tables_dir": at("tables")})
+
+
 def summary(manifests: DataFrame) -> DataFrame:
     """One row: documents, chunks, tables, images."""
     return manifests.agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(f"{k}_count"), F.lit(0)).cast("bigint").alias(f"{k}s") for k in ("chunk", "table", "image")])
@@ -46,6 +111,11 @@ def table_name(number: Column | str, page: Column | str) -> Column:
     return F.concat(F.format_string("table_%04d", col(number)), F.when(col(page).isNull(), F.lit("")).otherwise(part))
 
 
+def html_table_name(chunk_id: Column | str) -> Column:
+    """Name of a table's files in the HTML dialect, by the id of its chunk."""
+    return F.concat(F.lit("table_"), F.replace(col(chunk_id), F.lit(":"), F.lit("_")))
+
+
 def table_files(grids: DataFrame, html_dialect: bool = False) -> DataFrame:
     """Side files of tables as rows: name, csv, markdown, html. grids: name, grid, caption, footnote, body.
 
@@ -68,24 +138,27 @@ def table_files(grids: DataFrame, html_dialect: bool = False) -> DataFrame:
 
 
 def write_files(files: DataFrame, path_col: str, content_col: str) -> DataFrame:
-    """Write one file a row through the cluster's file systems and give back (path, bytes); each task writes its own rows."""
-    import pandas as pd
-    from pyarrow import fs
+    """Write one file a row, of text or of bytes, through the cluster's file systems and give back (path, bytes); each task writes its own rows. Rows without content are left out."""
+    spark = files.sparkSession
+    base = _target(spark, "/").rstrip("/") if files.where(~F.col(path_col).contains("://")).limit(1).count() else ""
 
     def run(batches):
         for pdf in batches:
             out = []
             for p, c in zip(pdf["path"], pdf["content"]):
-                if c is None:
-                    continue
-                system, at = fs.FileSystem.from_uri(p if "://" in p else f"file://{p}")
-                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(at) as f:
-                    f.write(c.encode())
-                out.append((p, len(c.encode())))
+                if c is not None:
+                    with _opened(p if "://" in p else base + p) as f:
+                        f.write(c)
+                    out.append((p, len(c)))
             yield pd.DataFrame(out, columns=["path", "bytes"])
 
-    return files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).mapInPandas(run, "path string, bytes bigint")
+    return files.select(F.col(path_col).alias("path"), F.col(content_col).cast("binary").alias("content")).mapInPandas(run, "path string, bytes bigint")
+
+
+def copied_images(files: DataFrame, base: str) -> DataFrame:
+    """Images (doc_key, path, content) copied to `base/<doc_key>/<name>`, names made safe against collisions (`image_names`): path, bytes."""
+    named = files.join(image_names(files), ["doc_key", "path"]).groupBy("doc_key", "name").agg(F.first("content").alias("content"))  # equal names hold equal bytes
+    return write_files(named.withColumn("to", F.concat_ws("/", F.lit(base.rstrip("/")), "doc_key", "name")), "to", "content")
 
 
 def rebase_images(markdown: Column | str, mapping: Column | str, prefix: str | None = None) -> Column:

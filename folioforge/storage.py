@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, set to a local one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    have = spark.sparkContext.getCheckpointDir()
-    if not at and not have:
+    """Folder that all executors share: spark.checkpoint.dir, or the one set on the context. Where neither is set, a temporary one for a session on one machine; on a cluster that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="folioforge-checkpoint-")
-    if not have:
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
-    return at or have
+    return at
 
 
 _kept: dict[str, list[str]] = {}
@@ -31,9 +33,20 @@ def clear(spark: SparkSession) -> int:
     return len(paths)
 
 
+def keep(spark: SparkSession, path: str) -> str:
+    """Note a table written under a path of its own, for `clear`."""
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def kept(spark: SparkSession, path: str) -> bool:
+    """Whether a table that this application wrote has not been cleared."""
+    return path in _kept.get(spark.sparkContext.applicationId, [])
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives the loss of executors."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)

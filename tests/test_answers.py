@@ -94,3 +94,31 @@ def test_stored_index_and_chat_calls(spark, tmp_path):
     e = engine.Engine(spark, None, spark.createDataFrame([], "key string, label string, text string")).prepare()
     assert "".join(e.pipe("q")) == "" and e.gather("q") == ("", [])
     e.close()
+
+
+def test_question_of_a_blank_last_message(spark):
+    """A blank last user message isn't passed over for an older one of the same list; the body's messages come next."""
+    blank = [{"role": "user", "content": "old"}, {"role": "user", "content": " "}]
+    assert engine.question_of("plain", blank) == "plain"
+    assert engine.question_of("plain", blank, {"messages": [{"role": "user", "content": [{"content": "of the body"}]}, {"role": "assistant", "content": "x"}]}) == "of the body"
+    assert engine.question_of({"content": [" in parts", {"text": "b "}]}, None) == "in parts\nb" and engine.question_of(None, ["no message"]) == ""
+
+
+def test_loop_over_many_questions(spark):
+    """Questions go on by themselves: what the judge asks next is retrieved, the union of the rounds is packed, and a failing judge ends a question."""
+    rows = [(1, "alpha one"), (2, "beta two"), (3, "gamma three"), (4, "delta four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = docs.selectExpr("doc_id as key", "concat('d', doc_id) label", "text")
+
+    def judge(question, packed):
+        if question == "gamma":
+            raise RuntimeError("no model")
+        return {"sufficient": "beta" in packed or question == "delta", "new_query": "beta"}
+
+    e = engine.Engine(spark, index.lexical(docs), chunks, judge=judge, settings=engine.Settings(candidates=1, top=1))
+    q = spark.createDataFrame([(0, "alpha"), (1, "gamma"), (2, "delta")], "query_id int, query string")
+    got = {r["query_id"]: [p["key"] for p in r["passages"]] for r in e.gather_batch(q).collect()}
+    assert got == {0: [1, 2], 1: [3], 2: [4]}
+    context_, used = e.gather("alpha")
+    assert context_ == "[Source S1: d1]\nalpha one\n\n[Source S2: d2]\nbeta two" and [u["key"] for u in used] == [1, 2]
+    assert e.reply("delta").startswith("delta four [S1]")

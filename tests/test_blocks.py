@@ -158,3 +158,14 @@ def test_windows(spark):
     for r in chunks.sliding(df).orderBy("stem", "chunk_index").collect():
         got.setdefault(int(r["stem"]), []).append(r["text"])
     assert [got.get(i, []) for i in range(len(texts))] == [model(t) for t in texts]
+
+
+def test_stray_items_are_left_out_alone(spark):
+    from folioforge.sources import outputs
+
+    para = '{"type":"paragraph","content":{"paragraph_content":"kept"}}'
+    rows = [("a", f'[[{para}], {{"x": 1}}]'), ("b", f'[[{para}, "stray", 3, null]]'), ("c", "no json"), ("d", "[[]]"), ("e", '[[{"type":"title","content":"no object"}]]')]
+    got = [(r["doc_key"], r["text"]) for r in blocks.from_v2(spark.createDataFrame(rows, "doc_key string, json string")).orderBy("doc_key").collect()]
+    assert got == [("a", "kept"), ("b", "kept"), ("e", "")]
+    flat = outputs.from_flat(spark.createDataFrame([("a", '["x", {"type":"table","table_caption":"one","footnote":["f"],"chart_content":"| a |"}]')], "doc_key string, json string")).first()
+    assert (flat["ord"], flat["table_caption"], flat["footnote"], flat["chart_content"]) == (1, ["one"], ["f"], "| a |")

@@ -112,3 +112,60 @@ def test_shared_tables_are_cleared(spark):
 
     df = storage.written(spark, spark.range(3), "some")
     assert df.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+
+
+def test_files_of_documents(spark, tmp_path):
+    lines = spark.createDataFrame([("a", "a:2", "two"), ("a", "a:1", "one é"), ("b", "b:1", "x"), (None, "c", "y")], "doc_key string, id string, value string")
+    done = {r["path"]: r["lines"] for r in sinks.write_documents(lines, f"{tmp_path}/docs").collect()}
+    assert sorted(done.values()) == [1, 2] and (tmp_path / "docs" / "a.jsonl").read_text() == "one é\ntwo\n"
+    got = files.found_files(spark, str(tmp_path), ".jsonl").orderBy("path").collect()
+    assert [r["path"].rsplit("/", 1)[-1] for r in got] == ["a.jsonl", "b.jsonl"] and got[1]["length"] == 2
+    im = spark.createDataFrame([("d", "p/i.png", bytearray(b"\xff1")), ("d", "q/i.png", bytearray(b"2")), ("d", "r/i.png", bytearray(b"\xff1"))], "doc_key string, path string, content binary")
+    assert sinks.copied_images(im, f"{tmp_path}/images").count() == 2
+    assert (tmp_path / "images" / "d" / "i.png").read_bytes() == b"\xff1" and (tmp_path / "images" / "d" / "i_2.png").read_bytes() == b"2"
+
+
+def test_manifest_forms(spark):
+    m = sinks.with_paths(spark.createDataFrame([("b", 2), ("a", 1)], "doc_key string, chunk_count long"), "/out")
+    doc = json.loads(sinks.manifest_document(m, {"output_dir": "/out"}).first()["value"])
+    assert doc["output_dir"] == "/out" and [d["doc_key"] for d in doc["documents"]] == ["a", "b"] and doc["documents"][0]["tables_dir"] == "/out/tables/a"
+    assert [d["chunks_path"] for d in json.loads(sinks.manifest_list(m).first()["value"])] == ["/out/chunks/a.jsonl", "/out/chunks/b.jsonl"]
+    names = spark.createDataFrame([("d:00003",)], "id string").select(sinks.html_table_name("id")).first()[0]
+    assert names == "table_d_00003"
+
+
+def test_fingerprint_follows_contents_and_paths(spark, tmp_path):
+    from folioforge.operators import index
+
+    a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    of = lambda *ps: index.fingerprint(spark, [str(p) for p in ps]).first()[0]
+    a.write_text("x\ny\n")
+    b.write_text("x\nz\n")
+    one = of(a)
+    assert one == of(a) and one != of(b) and one != of(a, b)
+    a.write_text("x\nq\n")
+    assert of(a) != one
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from folioforge import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
+
+
+def test_pages_of_texts(spark):
+    from folioforge.sources import outputs
+
+    df = spark.createDataFrame([("a", "one\ftwo\f"), ("b", ""), ("c", None)], "stem string, value string")
+    assert [tuple(r) for r in outputs.page_texts(df).orderBy("stem", "page_idx").collect()] == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, ""), ("b", 0, "")]

@@ -25,3 +25,23 @@ def test_containers(spark):
     assert _texts(spark, None) == [] and _texts(spark, "") == []
     assert _texts(spark, "<div class='portlet-body'><p>the portlet wins over main</p></div><main><p>the main content of it</p></main>") == [("p", "the portlet wins over main")]
     assert _texts(spark, "<div><p>the longest of the divisions here</p></div><div><p>shorter one of them</p></div>") == [("p", "the longest of the divisions here")]
+
+
+def test_links_are_measured_collapsed(spark):
+    """Line breaks inside a link count as one blank, as they do in the text around it."""
+    page = "<main><p>Words before the link <a>in\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\nparts</a> and behind it.</p></main>"
+    assert _texts(spark, page) == [("p", "Words before the link in parts and behind it.")]
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<div>" * 3000 + "<p>the text at the bottom of it</p>"
+    assert _texts(spark, deep) == [("p", "the text at the bottom of it")]
+    assert _texts(spark, "<main><p>an unclosed <b>part of the text<p>and another one</main></p></div>") == [("p", "an unclosed part of the text"), ("p", "and another one")]
+    assert _texts(spark, "<![CDATA[ <main><p>whatever this is") in ([], [("p", "whatever this is")])
+
+
+def test_nested_tables_and_hidden_text(spark):
+    page = "<main><table><tr><td>outer<table><tr><td>inner</td></tr></table></td></tr></table><p>shown <noscript>hidden</noscript>text here</p></main>"
+    rows = html.chunks(spark.createDataFrame([("p", page)], "doc_key string, html string")).orderBy("id").collect()
+    assert [(r["html_tag"], r["text"]) for r in rows] == [("table", "outerinner"), ("table", "inner"), ("p", "shown text here")]
+    assert rows[0]["table_rows"] == [["outerinner", "inner"], ["inner"]]

@@ -84,3 +84,35 @@ def test_index_tables(spark, tmp_path):
     assert {r["key"]: r["embedding"][0] for r in e.collect()}[4] == 1.0
     empty = index.lexical(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.terms.count() == 0 and retrieve.bm25(empty.write(str(tmp_path / "none")), q, 4).count() == 0
+
+
+def test_vectors_against_plain_distances(spark):
+    """Ties by key, several batches and tasks, keys that are texts."""
+    r = random.Random(4)
+    vs = [(f"k{i:03d}", [r.randrange(3) / 2 for _ in range(5)]) for i in range(400)]
+    e = spark.createDataFrame(vs, "key string, embedding array<float>").repartition(5)
+    got = retrieve.vectors(e, e.where("key < 'k007'").select(F.col("key").alias("query_id"), "embedding"), 9).collect()
+    for q, v in vs[:7]:
+        want = sorted((round(math.dist(v, u), 6), k) for k, u in vs)[:9]
+        assert [(x["score"], x["key"]) for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == want
+    assert retrieve.vectors(e.limit(0), e.limit(3).select(F.col("key").alias("query_id"), "embedding")).count() == 0
+    assert retrieve.vectors(e, e.limit(0).select(F.col("key").alias("query_id"), "embedding")).count() == 0
+
+
+def test_no_sort_over_all_pairs(spark):
+    """The index streams through one task step that gives k rows a query; only these are sorted, and nothing is joined."""
+    e = spark.range(1000).selectExpr("id as key", "array(cast(id as float), 1f) embedding")
+    plan = retrieve.vectors(e, e.where("key < 3").selectExpr("key as query_id", "embedding"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    assert plan.rindex("MapInArrow") > plan.rindex("Sort")  # the leaf side is printed last
+
+
+def test_filter_before_the_cut(spark):
+    """A selective filter on the metadata still fills the list."""
+    from folioforge.plans import engine
+
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('alpha beta ', id) as text")
+    chunks = docs.selectExpr("doc_id as key", "cast(doc_id as string) label", "text", "doc_id % 100 = 99 as rare")
+    e = engine.Engine(spark, index.lexical(docs), chunks, settings=engine.Settings(candidates=5, top=5))
+    q = spark.createDataFrame([(0, "alpha")], "query_id int, query string")
+    assert {r["key"] for r in e.retrieve(q, "rare").collect()} == {99, 199, 299}

@@ -54,8 +54,9 @@ def test_small_helpers(spark):
 
 
 def test_unescape_and_flatten(spark):
-    df = spark.createDataFrame([("&eacute;&amp;",), (None,)], "a string")
-    assert [r[0] for r in df.select(parsers.unescape("a")).collect()] == [html.unescape("&eacute;&amp;"), None]
+    texts = ["&eacute;&amp;", "&amp;lt; &amp &lt;b&gt;", "R&D Q&A &unknown; a&b", "&#0; &#150; &#xD800; &#x1F600; &#99999999; &hellip;", "&notin; &NotEqualTilde; &sup2", None, ""]
+    df = spark.createDataFrame([(x,) for x in texts], "a string")
+    assert [r[0] for r in df.select(T.unescape("a")).collect()] == [x and html.unescape(x) for x in texts]
     assert parsers.flat({"bbox": [1], "x": ["a", None, {"text": "b"}], "level": 3}) == "a b"
     assert parsers.flat({"content": "", "text": [1, 2]}) == "1 2"
     js = spark.createDataFrame([('["a ", {"text": " b"}, null, ""]',), ("plain",), (None,)], "a string")
