@@ -32,7 +32,7 @@ MIN_CHARS = 60
 _markup = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&#?\w+;|\\[A-Za-z]+\*?|!?\[\[?(?:File:)?|\]\]?(?:\([^()\s]*\))?|\{\{[^{}]*\}\}|[{}*`~_]|'{2,}", re.S)
 _sentence = re.compile(r"(?<=[.;!?])[)”»\"]*\s+")
 _stop = re.compile(r"[.;!?…][)”»\"’\]]*$")
-_paren = re.compile(r"\([^()]*\d[^()]*\)")
+_paren = re.compile(r"\([^()]{0,59}\)|\([^()]*\d[^()]*\)")  # short insertions and codes are no running text
 
 
 def named(lang: Column) -> Column:

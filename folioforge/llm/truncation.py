@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_CLASSES, WORD, hash64, mix, slices, texts_of, written
+from .leak import among, bitmap
 from .shingles import Signer
 
 #: Near copies: words of a shingle, least share of the cut text's shingles that the copy holds, bands and rows of the min-hash, words of the shortest head.
@@ -46,8 +47,8 @@ _number = re.compile(r"\W*(?:[0-9]+[.)])+\s+")
 _line = re.compile(r"[\r\n]+")
 _digits = re.compile(r"[0-9]+")
 _on = re.compile(r"\w|" + ON)
-#: A word, how its sentence goes on, and marks behind it at which a text may be cut.
-_going = re.compile(rf"({WORD.pattern})(?=(_|{ON})?)(?=([\W_]*?[,;:(])?)")
+#: How a sentence goes on behind a word, and marks behind it at which a text may be cut.
+_goes_on, _mark = re.compile(rf"_|{ON}"), re.compile(r"[\W_]*?[,;:(]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "”“’»«›…·•"
 
@@ -225,18 +226,25 @@ def terminality(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forms, words.crossJoin(F.broadcast(mean)).select("word", (share / F.col("mean")).alias("times"))
 
 
-def _places(texts: DataFrame) -> DataFrame:
-    """Each place of the texts (c, text) at which another text's closing run may stand: c, run, next (characters of the word behind it), on (the sentence goes on behind that word), mark (so it may behind a mark)."""
+def _places(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each place of the texts (c, text) at which one of the closing runs may stand (all that do, and few others): c, run, next (characters of the word behind it), on (the sentence goes on behind that word), mark (so it may behind a mark)."""
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap(runs.select(F.col("run").alias("h"))))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(1).to_pylist())):
+            out = []
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = _going.findall(t)
-                runs = _run_hashes([x[0] for x in got], seen)[: max(0, len(got) - CLOSING + 1)]
-                behind = got[CLOSING - 1 :]
-                cols = [pa.array([c] * len(runs), pa.int64()), pa.array(runs), pa.array([len(x[0]) for x in behind], pa.int32()), pa.array([x[1] != "" for x in behind], pa.bool_()), pa.array([x[2] != "" for x in behind], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, ["c", "run", "next", "on", "mark"])
+                own = _run_hashes(WORD.findall(t), seen)[:-1]  # a word must stand behind
+                hits = np.flatnonzero(among(own.view(np.uint64), sent.value))
+                if len(hits):
+                    words = list(WORD.finditer(t))
+                    for k in hits:
+                        word = words[k + CLOSING - 1]
+                        out.append((c, int(own[k]), len(word.group()), bool(_goes_on.match(t, word.end())), bool(_mark.match(t, word.end()))))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["c", "run", "next", "on", "mark"])
 
     return texts.select("c", "text").mapInArrow(run, "c bigint, run bigint, next int, on boolean, mark boolean")
 
@@ -259,7 +267,7 @@ def _closed(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, Da
     wanted = texts_of(spark, docs.where("text is not null").select(F.xxhash64("text").alias("c"), "text"), either)
     runs = written(spark, ends.groupBy("run").agg(F.min("last").alias("least")), "truncation-runs")
     few = runs.count() <= BROADCAST_CLASSES
-    at = _places(wanted).join(F.broadcast(runs) if few else runs, "run").where("next >= least and (on or mark or next > least)").select("c", "run", "next", "on", "mark").distinct()
+    at = _places(wanted, runs).join(F.broadcast(runs) if few else runs, "run").where("next >= least and (on or mark or next > least)").select("c", "run", "next", "on", "mark").distinct()
     at = written(spark, at, "truncation-places")
     return ends, at.join(cells, "c").join(ends.select("cell", "run").distinct(), ["cell", "run"], "left_semi"), wanted
 
