@@ -293,6 +293,34 @@ def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return files.scan_chunks(spark, [path], "corpus").select("id", "text", "metadata.chunk_type", "index_name").distinct()
 
 
+def manifest_paths(spark: SparkSession, d: str) -> DataFrame:
+    m = sinks.with_paths(manifest(spark, d).select("source", "chunk_count"), "/out", "source")
+    return m.select("source", "chunk_count", "chunks_path", "markdown_path", "images_dir", "tables_dir")
+
+
+def image_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Three images of one name a document, two of them with the same bytes."""
+    s = table(spark, d, "sources").select(F.col("source").alias("doc_key"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("c")) for p, c in (("a/i.png", "1"), ("b/i.png", "2"), ("c/i.png", "1"), ("c/noext", "3"))])).alias("x"))
+    return sinks.image_names(s.select("doc_key", "x.path", F.encode("x.c", "utf-8").alias("content")))
+
+
+def rebased_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Image targets found whole, without their query, by their last part, by prefix, and not at all."""
+    s = table(spark, d, "sources")
+    md = F.concat(F.lit("![a](images/x.png) ![b](q/y.png?z) ![c](w.png#f) ![d](q/"), "source", F.lit(".png) [no image](w.png) ![e](images/x.png)"))
+    names = F.create_map(F.lit("y.png"), F.lit("new.png"), F.lit("w.png"), F.lit("w2.png"), F.concat("source", F.lit(".png")), F.lit("own.png"))
+    return s.select("source", sinks.rebase_images(md, names, "../").alias("markdown"))
+
+
+def html_table_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of tables in the dialect of web pages."""
+    n = table(spark, d, "nation").select(
+        sinks.html_table_name(F.format_string("%s:%05d", "n_name", "n_nationkey")).alias("name"), F.array(F.array(F.lit("a|b"), F.lit("c;d")), F.array(F.col("n_name"))).alias("grid"),
+        F.lit("").alias("caption"), F.lit("").alias("footnote"), F.lit(None).cast("string").alias("body"),
+    )
+    return sinks.table_files(n, html_dialect=True).select("name", "csv", "markdown")
+
+
 def page_reader(spark: SparkSession, d: str) -> DataFrame:
     """Documents as texts with form feeds between their pages; pages 2 to 4 of each."""
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("stem"), F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("value"))
@@ -433,17 +461,19 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Answers of the conversations, and as their sources the ten longest titles of the documents."""
+    """Answers of the conversations, and as their sources the passages that the first query retrieves."""
     a = table(spark, d, "conversations").where("msg_role = 'assistant' and text is not null")
     a = a.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id"), F.lit(0).alias("query_id"), F.col("text").alias("answer")).distinct()
-    docs = table(spark, d, "documents").where("title is not null and text is not null").select("doc_id", "source", "title").distinct().orderBy(F.desc(F.length("title")), "doc_id").limit(10)
-    ctx = docs.select(F.lit(0).alias("query_id"), (F.row_number().over(Window.orderBy(F.desc(F.length("title")), "doc_id")) - 1).alias("place"), F.substring("source", 1, 3).alias("label"), F.col("title").alias("text"))
-    return a, ctx
+    q = _queries(spark, d)
+    first = q.join(F.broadcast(q.agg(F.min("query_id").alias("query_id"))), "query_id")  # one row
+    top = retrieve.bm25(_index(spark, d), first, retrieve.TOP).select("key", F.col("rank").alias("place"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.coalesce("path", "source", F.lit("")).alias("label"), "text")
+    return a, top.join(docs, "key").select(F.lit(0).alias("query_id"), "place", "label", "text")
 
 
 def cite_extract(spark: SparkSession, d: str) -> DataFrame:
     a, _ = _answers(spark, d)
-    return a.select("answer_id", F.array_join(F.transform(citations.cited("answer", 10), lambda x: x.cast("string")), ",").alias("numbers"))
+    return a.select("answer_id", F.array_join(F.transform(citations.cited("answer", retrieve.TOP), lambda x: x.cast("string")), ",").alias("numbers"))
 
 
 def cite_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -479,7 +509,7 @@ NAMES = (
     "chunk_sliding_window page_windows chunk_references html_chunks manifest manifest_check run_summary json_lines term_statistics bm25_topk vector_topk "
     "hybrid_retrieve rrf_fusion rerank_overlap rerank_permutation union_distinct_iterations document_identity source_label style_note context_pack cite_extract "
     "cite_sources cite_renumber cite_rewrite last_user_message validate_question assistant_last entities html_cases span_tables block_cases caption_keys "
-    "scan_jsonl page_reader message_texts answer_chips question_loop"
+    "scan_jsonl manifest_paths image_copies rebased_markdown html_table_files page_reader message_texts answer_chips question_loop"
 ).split()
 
 

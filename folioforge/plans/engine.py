@@ -191,7 +191,7 @@ class Engine:
                 now = now.withColumn("embedding", vector("query"))
             got = self.retrieve(now, where).select("query_id", F.lit(k).alias("round"), "place", "key", "label", "text")
             kept = written(self.spark, got if kept is None else kept.unionByName(got), f"loop-{k}")
-            order = retrieve.union_rounds(kept.select("query_id", "round", "place", "key")).select("query_id", "key", F.col("position").alias("place"))
+            order = retrieve.union_rounds(kept.select("query_id", "round", "place", "key")).select("query_id", "key", (F.col("position") - 1).alias("place"))
             ranked = order.join(kept.dropDuplicates(["query_id", "key"]).drop("place", "round"), ["query_id", "key"])
             packed = context.pack(ranked, self.settings.context_chars)
             if k + 1 == self.settings.rounds:

@@ -68,9 +68,10 @@ def fuse(v: str, x: str, key: str, k: int = 40) -> str:
 
 
 L2 = "round(list_distance(e.embedding::double[], q.embedding::double[]), 6)"
-ANSWERS = """a as (select distinct conv_id || '/' || turn answer_id, text answer from conversations where msg_role = 'assistant' and text is not null),
-ctx as (select row_number() over (order by length(title) desc, doc_id) number, substr(source, 1, 3) label, title quote from (select distinct doc_id, source, title from documents where title is not null and text is not null) qualify number <= 10),
-nums as (select answer_id, n::int number, p from (select answer_id, unnest(l) n, generate_subscripts(l, 1) p from (select answer_id, regexp_extract_all(answer, '\\[S([0-9]{1,9})\\]', 1) l from a))),
+ANSWERS = f"""{INDEX}, {QUERIES}, q1 as (select * from q where query_id = (select min(query_id) from q)), {bm25('q1', 15, 'top')},
+a as (select distinct conv_id || '/' || turn answer_id, text answer from conversations where msg_role = 'assistant' and text is not null),
+ctx as (select rank + 1 number, coalesce(path, source, '') label, {strip("coalesce(text, '')")} quote from top join documents using (doc_id)),
+nums as (select answer_id, n::int number, p from (select answer_id, unnest(l) n, generate_subscripts(l, 1) p from (select answer_id, regexp_extract_all(answer, '\\[S([0-9]{{1,9}})\\]', 1) l from a))),
 firsts as (select answer_id, number, min(p) p from nums group by all),
 entries as (select answer_id, row_number() over (partition by answer_id order by p) position, number, label, quote from firsts join ctx using (number))"""
 LABEL = "case when coalesce(page_start, 0) <> 0 and coalesce(page_end, 0) <> 0 and page_start <> page_end then 'pages ' || page_start || '-' || page_end when coalesce(page_start, 0) <> 0 then 'page ' || page_start else 'page unknown' end"
@@ -170,8 +171,8 @@ SQL: dict[str, str] = {
           (select s.*, k.h, 60000 - used - length(h) - 8 room, '[' || h || ']' || chr(10) || case when length(t) > 60000 - used - length(h) - 8 then regexp_replace(substr(t, 1, greatest(60000 - used - length(h) - 8, 0)), '{WS}+$', '') || '...' else t end sec
            from s join k on k.query_id = s.query_id and k.rank = s.rank + 1 where not done) s)
         select query_id, context, included::int included, used::int used_chars from s qualify row_number() over (partition by query_id order by rank desc) = 1""",
-    "cite_extract": f"""with {ANSWERS} select answer_id, coalesce(string_agg(number::varchar, ',' order by p) filter (number between 1 and 10), '') numbers from a left join firsts using (answer_id) group by answer_id""",
-    "cite_sources": f"""with {ANSWERS} select answer_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Sources**' || chr(10) || chr(10) || string_agg('[S' || number || '] ' || label || chr(10) || chr(10) || '> ' || {strip('quote')} || chr(10), chr(10) order by position) block
+    "cite_extract": f"""with {ANSWERS} select answer_id, coalesce(string_agg(number::varchar, ',' order by p) filter (number between 1 and 15), '') numbers from a left join firsts using (answer_id) group by answer_id""",
+    "cite_sources": f"""with {ANSWERS} select answer_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Sources**' || chr(10) || chr(10) || string_agg('[S' || number || '] ' || label || chr(10) || chr(10) || '> ' || quote || chr(10), chr(10) order by position) block
         from entries group by answer_id""",
     "cite_renumber": f"""with {ANSWERS}, g as (select answer_id, label, row_number() over (partition by answer_id order by min(position)) group_no from entries group by answer_id, label)
         select answer_id, number, group_no::int group_no, label from entries join g using (answer_id, label)""",
@@ -250,3 +251,8 @@ SQL["page_reader"] = f"""with p as (select doc_id, unnest(l) t, generate_subscri
   select doc_id::varchar stem, k::int page_idx, {collapse("replace(t, chr(0), ' ')")} as text from p where k >= 1 and k < 4"""
 SQL["message_texts"] = """select conv_id, turn, case when regexp_matches(text, '[^\t\n\x0b\f\r ]') then text || chr(10) || text else '' end || case when regexp_matches(text, '[^\t\n\x0b\f\r ]') then chr(10) else '' end || 'end' as text from conversations where text is not null"""
 SQL["answer_chips"] = f"""with r as ({SQL['cite_rewrite']}), n as ({SQL['cite_renumber']}), c as (select answer_id, max(group_no)::int n from n group by answer_id) select answer_id, answer as content, n sources from r join c using (answer_id)"""
+SQL["manifest_paths"] = f"""select source, chunk_count, '/out/chunks/' || source || '.jsonl' chunks_path, '/out/markdown/' || source || '.md' markdown_path, '/out/images/' || source images_dir, '/out/tables/' || source tables_dir from ({SQL['manifest']})"""
+SQL["image_copies"] = "select source doc_key, p path, n as name from sources, (values ('a/i.png', 'i.png'), ('b/i.png', 'i_2.png'), ('c/i.png', 'i.png'), ('c/noext', 'noext')) v(p, n)"
+SQL["rebased_markdown"] = "select source, '![a](../images/x.png) ![b](new.png) ![c](w2.png) ![d](own.png) [no image](w.png) ![e](../images/x.png)' markdown from sources"
+SQL["html_table_files"] = """select 'table_' || n_name || '_' || lpad(n_nationkey::varchar, 5, '0') as name, chr(65279) || 'a|b;"c;d"' || chr(13) || chr(10) || n_name || chr(13) || chr(10) csv,
+  '| a|b | c;d |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' |  |' markdown from nation"""
