@@ -56,13 +56,9 @@ def bm25(index: Lexical, queries: DataFrame, k: int = CANDIDATES, query_id: str
     tf = F.col("tf").cast("double")
     weight = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "key").agg(F.round(F.sum(weight), PLACES).alias("score"))
-    scored = written(queries.sparkSession, scored, "bm25-scores")  # read four times below
+    scored = written(queries.sparkSession, scored, "bm25-scores")  # read again to fill up
     every = queries.select(F.col(query_id).alias("query_id")).distinct()
-    best = top_k(scored.where("score > 0"), k).drop("rank")
-    # documents with no score of their own: the first k + |best| keys are enough to fill up any query
-    zero = _fill(index, every, scored, k)
-    low = top_k(scored.where("score < 0"), k).drop("rank")
-    return top_k(best.unionByName(zero).unionByName(low), k)
+    return top_k(scored.where("score <> 0").unionByName(_fill(index, every, scored, k)), k)
 
 
 def _fill(index: Lexical, every: DataFrame, scored: DataFrame, k: int) -> DataFrame:
