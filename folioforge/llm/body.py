@@ -21,7 +21,7 @@ from .furniture import seed
 
 #: Labelled sample from which the weights are learned: about so many rows of whole pages, chosen by the hash of the page's name (at
 #: most twice as many); of a page at most PAGE_ROWS rows, and no row of more than SAMPLE_CHARS characters.
-SAMPLE_ROWS, PAGE_ROWS, SAMPLE_CHARS = 16_000, 400, 20_000
+SAMPLE_ROWS, PAGE_ROWS, SAMPLE_CHARS = 32_000, 400, 20_000
 #: A line below -DROP ends a region; a region is content if its score reaches LEAST.
 DROP, LEAST = 1.0, 0.3
 #: Rows of a page that are scanned as one, and rows of the neighbouring blocks that are read along on either side.

@@ -29,6 +29,8 @@ WIDTH, SIMILARITY, BANDS, ROWS, HEAD = 5, 0.8, 6, 3, 24
 CLOSING = 8
 #: Terminality from which a text may end with a word, how many uses the mean rate counts as beside those of the word, and the longest line that needn't be running text.
 TERMINAL, WEIGHT, LINE_CHARS = 0.05, 4.0, 110
+#: Share of words used once among those at the ends of a form's lines from which a new word is as good there as a known one.
+NEW = 0.02
 #: Characters at the end of a text in which a full stop with its closing marks, or a sign of omission, stands.
 TAIL = 64
 #: Entries of the table of words that a task holds before it hands them on.
@@ -316,9 +318,9 @@ def judged(docs: DataFrame) -> DataFrame:
     """Every text with anything on it: doc_id, source, ending (stop, omitted, open), form (of the last line of an open one), early (a near copy goes on), score (terminality of its closing word), truncated.
 
     Null, empty and blank texts and null ids give no row; repeated rows are judged alike; a short line of a form that no complete line of
-    the table has is taken as complete, running text as cut. The score of a word written small is the rate of the form times how much oftener than the mean
-    the word ends a line or sentence, or, if no complete line has it, times the share of such words at the end of such lines; that
-    of a name or number is the rate of the form.
+    the table has is taken as complete, running text as cut. The score of a word written small is the rate of the form, less if the word ends a
+    line or sentence more seldom than the mean, or, if no complete line has it, if fewer than the share NEW of the words at the ends
+    of such lines are used once in all; that of a name or number is the rate of the form.
     """
     spark = docs.sparkSession
     all_ = written(spark, _examined(docs), "truncation-examined")
@@ -330,9 +332,11 @@ def judged(docs: DataFrame) -> DataFrame:
     asked = rows.where("ending = 'open' and small").select("word").distinct()
     words = words.join(asked, "word", "left_semi")
     got = rows.join(early, "c", "left").join(words, "word", "left").join(F.broadcast(forms), "form", "left")  # forms: a class of lines each
-    # most cut words are new, but few of those that end a heading are; names and numbers, wherever they stand else, may end a line
-    word = F.when(F.col("small"), F.coalesce("times", "fresh")).otherwise(F.lit(1.0))
-    score = F.when(F.col("rate").isNull(), F.when(F.col("form") == "p", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.col("rate") * word))
+    # most cut words are new, but few of those that end a heading are; names and numbers, wherever they stand else, may end a line;
+    # and no word makes a line of running text end without a full stop
+    new = F.least(F.lit(1.0), F.col("fresh") / F.lit(NEW))
+    word = F.when(F.col("small"), F.coalesce(F.least(F.lit(1.0), "times"), new)).otherwise(F.lit(1.0))
+    score = F.when(F.col("rate").isNull(), F.when(F.col("form") == "p", 0.0).otherwise(1.0)).otherwise(F.col("rate") * word)
     got = got.withColumns({"early": F.coalesce("early", F.lit(False)), "score": F.when(F.col("ending") == "open", F.round(score, 6))})
     cut = (F.col("ending") == "omitted") | ((F.col("ending") == "open") & (F.col("early") | (F.col("score") < TERMINAL)))
     return got.select("doc_id", "source", "ending", "form", "early", "score", cut.alias("truncated"))
