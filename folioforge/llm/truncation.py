@@ -335,7 +335,7 @@ def judged(docs: DataFrame) -> DataFrame:
     # most cut words are new, but few of those that end a heading are; names and numbers, wherever they stand else, may end a line;
     # and no word makes a line of running text end without a full stop
     new = F.least(F.lit(1.0), F.col("fresh") / F.lit(NEW))
-    word = F.when(F.col("small"), F.coalesce(F.least(F.lit(1.0), "times"), new)).otherwise(F.lit(1.0))
+    word = F.when(~F.col("small"), 1.0).when(F.col("times").isNull(), new).otherwise(F.least(F.lit(1.0), "times"))
     score = F.when(F.col("rate").isNull(), F.when(F.col("form") == "p", 0.0).otherwise(1.0)).otherwise(F.col("rate") * word)
     got = got.withColumns({"early": F.coalesce("early", F.lit(False)), "score": F.when(F.col("ending") == "open", F.round(score, 6))})
     cut = (F.col("ending") == "omitted") | ((F.col("ending") == "open") & (F.col("early") | (F.col("score") < TERMINAL)))
